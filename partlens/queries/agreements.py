@@ -85,7 +85,7 @@ both_ AS (SELECT p_brand, r1, r2, sum(n*(n-1)/2) AS b FROM (
 
 
 @query("replicate_jaccard", _REPLICATES + """
-SELECT p_brand, round(avg(coalesce(b, 0) / (x.s + y.s - coalesce(b, 0))), 6) AS jaccard
+SELECT x.p_brand, round(avg(coalesce(b, 0) / (x.s + y.s - coalesce(b, 0))), 6) AS jaccard
 FROM own x JOIN own y ON x.p_brand = y.p_brand AND x.rep < y.rep
 LEFT JOIN both_ ON both_.p_brand = x.p_brand AND r1 = x.rep AND r2 = y.rep GROUP BY 1""")
 def replicate_jaccard(t: Tables) -> DataFrame:

@@ -15,7 +15,7 @@ _PATHS = r"""
 WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]*\.([a-z]+)/', 1) AS repo,
   regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') AS path FROM pages),
 files AS (SELECT DISTINCT repo, path FROM u),
-rules AS (SELECT DISTINCT repo, split_part(path, '/', 1) AS path FROM u WHERE contains(url, '#top') AND page_id % 2 = 0
+rules AS (SELECT DISTINCT repo, split_part(path, '/', 1) AS path FROM u WHERE contains(url, '#top') AND contains(url, '//blog')
   UNION SELECT repo, path FROM u WHERE contains(url, '?page') UNION SELECT repo, 'xx/' FROM u),
 scope AS (SELECT f.* FROM files f WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.repo = f.repo AND
   (f.path = r.path OR starts_with(f.path, rtrim(r.path, '/') || '/'))))
@@ -32,7 +32,7 @@ def _scope(t: Tables) -> DataFrame:
     u = _pages(t)
     files = u.select("repo", "path").distinct()
     rules = (
-        u.where(F.col("url").contains("#top") & (F.col("page_id") % 2 == 0))
+        u.where(F.col("url").contains("#top") & F.col("url").contains("//blog"))
         .select("repo", F.split("path", "/")[0].alias("path"))
         .unionByName(u.where(F.col("url").contains("?page")).select("repo", "path"))
         .unionByName(u.select("repo", F.lit("xx/").alias("path")))
@@ -103,14 +103,14 @@ def edge_resolution(t: Tables) -> DataFrame:
 
 
 _SETS = """
-WITH l AS (SELECT l_suppkey, l_returnflag AS f, p_brand AS value FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH l AS (SELECT l_suppkey, l_returnflag AS f, p_brand || ':' || p_size AS value FROM lineitem JOIN part ON l_partkey = p_partkey),
 c AS (SELECT DISTINCT l_suppkey, value FROM l WHERE f = 'R'), a AS (SELECT DISTINCT l_suppkey, value FROM l WHERE f = 'A')
 """
 
 
 def _brand_sets(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     l = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_suppkey", "l_returnflag", F.col("p_brand").alias("value"))
+        "l_suppkey", "l_returnflag", F.concat_ws(":", "p_brand", "p_size").alias("value"))
     units = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"))
     return l.where("l_returnflag = 'R'"), l.where("l_returnflag = 'A'"), units
 
