@@ -168,7 +168,8 @@ def _spread(t: Tables) -> DataFrame:
     before, after = runs.where("l_returnflag = 'A'"), runs.where("l_returnflag = 'R'")
     sd = P.within_sd(before)
     tau = P.effect_tau(before, after, F.lit(sd.first()["sd_within"]))
-    return sd.crossJoin(F.broadcast(tau))  # one row each
+    both = sd.unionByName(tau, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("run_spread", _SPREAD + "SELECT round(sd_within, 8) AS sd_within, n_repos, round(tau, 8) AS tau, n_common FROM w, t")
