@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -58,10 +58,10 @@ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(digest, md5('
 def section_strip(t: Tables) -> DataFrame:
     """Lines that start with A-M become headings; sections headed D are removed."""
     marked = F.regexp_replace("text", "(?m)^([A-M])", "## $1")
-    # a dropped last section leaves the newline before it, which ends the text and starts no line
-    left = F.regexp_replace(L.drop_section(marked, "## D"), "\n$", "")
-    whole = F.when(F.regexp_replace(marked, "\n$", "") == left, F.when(marked.endswith("\n"), marked).otherwise(left)).otherwise(left)
-    return t.documents.select("doc_id", whole.alias("kept")).select(
+    stripped = L.drop_section(marked, "## D")
+    # when the last section goes, the newline before it ends the text and starts no line
+    kept = F.when(stripped == marked, marked).otherwise(F.regexp_replace(stripped, "\n$", ""))
+    return t.documents.select("doc_id", kept.alias("kept")).select(
         "doc_id", F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", "\n"))).cast("long").alias("n_lines"),
         F.md5("kept").alias("digest"))
 
@@ -99,8 +99,6 @@ SELECT event_type, count(*) FILTER (code = 0) AS done, count(*) FILTER (code <>
 FROM o GROUP BY 1""")
 def ledger_counts(t: Tables) -> DataFrame:
     """Events of a user as attempts at a slot: final outcomes, then the counts per type."""
-    from pyspark.sql import Window
-
     v = F.col("value")
     turn = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     attempts = t.events.select(
