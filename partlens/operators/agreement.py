@@ -100,28 +100,28 @@ def replicate_jaccard(partitions: DataFrame, runs: DataFrame, group: Sequence[st
     group, run = list(group), [*group, rep]
     part = partitions.where(F.col("community").isNotNull()).select(*run, item, "community")
     canon = part.join(
-        part.groupBy(*run, "community").agg(F.min(item).alias("label")), [*run, "community"]
-    ).select(*run, item, "label")
+        part.groupBy(*run, "community").agg(F.min(item).alias("__least")), [*run, "community"]
+    ).select(*run, item, "__least")
     prints = canon.groupBy(*run).agg(
-        F.sum(F.xxhash64(F.col(item), F.col("label")).cast("decimal(38,0)")).alias("h1"),
-        F.sum(F.xxhash64(F.lit("second"), F.col("label"), F.col(item)).cast("decimal(38,0)")).alias("h2"),
+        F.sum(F.xxhash64(F.col(item), F.col("__least")).cast("decimal(38,0)")).alias("h1"),
+        F.sum(F.xxhash64(F.lit("second"), F.col("__least"), F.col(item)).cast("decimal(38,0)")).alias("h2"),
         F.count(F.lit(1)).alias("h3"),
     )
     fingerprint = F.coalesce(F.concat_ws(":", *[F.col(c).cast("string") for c in ("h1", "h2", "h3")]), F.lit(""))
     tagged = runs.select(*run).distinct().join(prints, run, "left").select(*run, fingerprint.alias("fp"))
     variants = tagged.groupBy(*group, "fp").agg(F.count(F.lit(1)).alias("copies"), F.min(rep).alias(rep))
     # one representative run per distinct partition
-    content = canon.join(variants.select(*run, "fp"), run).select(*group, "fp", item, "label")
+    content = canon.join(variants.select(*run, "fp"), run).select(*group, "fp", item, "__least")
     sizes = (
-        content.groupBy(*group, "fp", "label").agg(F.count(F.lit(1)).alias("n"))
+        content.groupBy(*group, "fp", "__least").agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*group, "fp").agg(F.sum(choose2("n")).alias("pairs"))
     )
     info = variants.join(sizes, [*group, "fp"], "left").select(
         *group, "fp", "copies", F.coalesce("pairs", F.lit(0.0)).alias("pairs"))
     side = lambda df, n, *cols: df.select(*group, *[F.col(c).alias(f"{c}{n}") for c in ("fp", *cols)])
     both = (
-        content.select(*group, item, F.col("fp").alias("fp1"), F.col("label").alias("l1"))
-        .join(content.select(*group, item, F.col("fp").alias("fp2"), F.col("label").alias("l2")), [*group, item])
+        content.select(*group, item, F.col("fp").alias("fp1"), F.col("__least").alias("l1"))
+        .join(content.select(*group, item, F.col("fp").alias("fp2"), F.col("__least").alias("l2")), [*group, item])
         .where(F.col("fp1") < F.col("fp2"))
         .groupBy(*group, "fp1", "fp2", "l1", "l2").agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*group, "fp1", "fp2").agg(F.sum(choose2("n")).alias("p_both"))
