@@ -14,7 +14,6 @@ from ..sources import runs as R
 from .code_graph import CodeGraph
 
 GK, RK = list(schemas.GRAPH_KEY), list(schemas.RUN_KEY)
-LIMITS = {"coverage": contracts.MIN_COVERAGE, "edge_resolution": contracts.MIN_EDGE_RESOLUTION}
 
 
 def baselines(edges: DataFrame, files: DataFrame, ceiling: DataFrame | None = None) -> DataFrame:
@@ -51,6 +50,20 @@ def score_runs(manifests: DataFrame, results: DataFrame, files: DataFrame, code:
     manifests = materialize(manifests.select(*RK, *schemas.MANIFEST.keys() - {"repo"}))
     m = _manifest_tables(manifests)
     runs = manifests.select(*RK, F.coalesce(F.size("unpartitioned"), F.lit(0)).alias("unpartitioned"))
+    out, per_unit = score_tables(runs, m, results, files, code, lint, commits, gold)
+    out = out.join(_unit_array(m["units"], per_unit), RK, "left").withColumn(
+        "units", F.coalesce("units", F.array().cast(schemas.SCORE["units"])))
+    return out.select(*RK, *[F.col(n).cast(kind).alias(n) for n, kind in schemas.SCORE.items()])
+
+
+def score_tables(runs: DataFrame, m: dict[str, DataFrame], results: DataFrame, files: DataFrame, code: CodeGraph,
+                 lint: DataFrame | None = None, commits: DataFrame | None = None,
+                 gold: DataFrame | None = None, ceiling: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Score records without their unit lists, and the contracts of every unit.
+
+    ``m`` holds the manifests as long tables (units, unit_files, listed, depends, declared,
+    excluded), so units of any number and size are spread over the cluster.
+    """
     owner = materialize(contracts.owners(m["unit_files"], RK))
     scored = files.where(source_files.is_source("path")).select(*GK, "path").distinct()
 
@@ -64,7 +77,7 @@ def score_runs(manifests: DataFrame, results: DataFrame, files: DataFrame, code:
 
     # partition quality
     edges = materialize(graph.undirected(code.edges, GK))
-    base = baselines(edges, scored, community.louvain(edges, GK))
+    base = baselines(edges, scored, community.louvain(edges, GK) if ceiling else None)
     proposal = owner.select(*RK, F.col("path").alias("node"), F.col("unit").alias("community"))
     q_llm = graph.modularity(edges, proposal, GK, ["label", "rep"]).withColumnRenamed("q", "q_llm")
     out = (
@@ -86,12 +99,10 @@ def score_runs(manifests: DataFrame, results: DataFrame, files: DataFrame, code:
 
     # contracts
     per_unit, summary = _contracts(m, owner, code)
-    out = out.join(summary, RK, "left").join(_unit_array(m["units"], per_unit), RK, "left")
-    out = out.withColumn("contract_r", mean_of("entrypoint_r", "effects_r"))
+    out = out.join(summary, RK, "left").withColumn("contract_r", mean_of("entrypoint_r", "effects_r"))
 
     # how the run ended and what it cost
-    done = results.select(*RK, *schemas.RESULT)
-    out = out.join(done, RK, "left")
+    out = out.join(results.select(*RK, *schemas.RESULT), RK, "left")
     out = out.join(lint.select(*RK, "lint_rounds"), RK, "left") if lint is not None else out.withColumn("lint_rounds", F.lit(0))
     out = out.withColumns({
         "trivial": contracts.is_trivial("n_units", "n_owned"),
@@ -99,11 +110,12 @@ def score_runs(manifests: DataFrame, results: DataFrame, files: DataFrame, code:
         "run_error": contracts.run_error("subtype", "is_error"),
         "q_gain_dir": graph.gain("q_llm", "q_one", "q_dir"),
     })
+    # on values that are not rounded yet
     valid = (
-        (F.col("coverage") >= LIMITS["coverage"]) & (F.col("edge_resolution") >= LIMITS["edge_resolution"])
+        (F.col("coverage") >= contracts.MIN_COVERAGE) & (F.col("edge_resolution") >= contracts.MIN_EDGE_RESOLUTION)
         & ~F.col("trivial") & ~F.col("budget_exhausted")
     )
-    return _record(out.withColumn("valid_nontrivial", valid), code.source)
+    return _record(out.withColumn("valid_nontrivial", valid), code.source), per_unit
 
 
 def _cochange(commits: DataFrame, scored: DataFrame, proposal: DataFrame) -> DataFrame:
@@ -154,11 +166,12 @@ def _record(out: DataFrame, source: str) -> DataFrame:
         "cost_usd": F.coalesce("total_cost_usd", F.lit(0.0)), "turns": F.col("num_turns"),
         "input_tokens": F.col("usage.input_tokens"), "output_tokens": F.col("usage.output_tokens"),
         "lint_rounds": F.coalesce("lint_rounds", F.lit(0)),
-        "units": F.coalesce("units", F.array().cast(schemas.SCORE["units"])),
     }
     rounded = [c for c in schemas.SCORE if c.startswith(("q_", "gold_")) or c in places or c == "contract_r"]
     fields = []
     for name, kind in schemas.SCORE.items():
+        if name == "units":
+            continue
         value = renamed.get(name, F.col(name))
         if name in rounded:
             value = round_even(value, places.get(name, 4))

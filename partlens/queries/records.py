@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import diff, resolve
+from ..operators.keyed import positions_within
 from ..sources import corpus as K
 from ..sources import runs as R
 from .registry import Tables, query
@@ -100,10 +101,10 @@ FROM o GROUP BY 1""")
 def ledger_counts(t: Tables) -> DataFrame:
     """Events of a user as attempts at a slot: final outcomes, then the counts per type."""
     v = F.col("value")
-    turn = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    attempts = t.events.select(
-        F.col("user_id").alias("repo"), F.col("event_type").alias("rep"), F.row_number().over(turn).alias("attempt"),
+    events = t.events.select(
+        F.col("user_id").alias("repo"), F.col("event_type").alias("rep"), "event_id",
         F.when(v > 30, 0).when(v > 15, 4).when(v > 5, 3).otherwise(1).alias("exit_code"))
+    attempts = positions_within(events, ["repo", "rep"], ["event_id"]).withColumn("attempt", F.col("position") + 1)
     ledger = K.final_outcomes(attempts)
     return K.ledger_counts(ledger, ["rep"]).join(
         ledger.groupBy("rep").agg(F.sum("attempts").alias("attempts"), F.sum("backoff").alias("backoff")), "rep"
@@ -243,5 +244,5 @@ SELECT count(*) AS runs_seen, count(*) FILTER (n > 0) AS runs_with_units FROM (
   SELECT c_custkey, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)""")
 def unit_scan_counts(t: Tables) -> DataFrame:
     """Customers as runs, urgent orders as units; a run without units is seen, not used."""
-    units = t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("units"))
+    units = t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.array(F.count(F.lit(1))).alias("units"))
     return R.unit_scan_counts(t.customer.join(units, F.col("c_custkey") == F.col("o_custkey"), "left"))
