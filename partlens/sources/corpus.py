@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.expressions import hash_index
+from ..functions.expressions import hash_index, stem
 from ..operators.keyed import number_rows, top_k
 
 UNPINNED = "PIN_ME"
@@ -52,6 +53,21 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((name != "") & ~F.col("value").startswith("#")).select("rank", name.alias("name"))
 
 
+def read_gold(spark: SparkSession, root: str) -> DataFrame:
+    """Human partitions ``<root>/<repo>.json`` as (repo, path, unit); none is an empty table."""
+    try:
+        raw = spark.read.text(f"{root}/*.json", wholetext=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "repo string, path string, unit string")
+    parsed = F.from_json("value", "units array<struct<name string, files array<string>>>")["units"]
+    return (
+        raw.select(stem("_metadata.file_path").alias("repo"), F.explode(parsed).alias("u"))
+        .select("repo", F.explode("u.files").alias("path"), F.col("u.name").alias("unit"))
+    )
+
+
 def dev_size(corpus: DataFrame, holdout: DataFrame) -> DataFrame:
     """Number of pinned repositories outside the holdout."""
     return pinned(corpus).join(holdout.select("name"), "name", "left_anti").agg(F.count(F.lit(1)).alias("n_dev"))
@@ -164,9 +180,14 @@ def open_slots(wanted: DataFrame, scored: DataFrame, keys: Sequence[str] = schem
     return wanted.join(scored.select(*keys), list(keys), "left_anti")
 
 
+def shard_of(rows: DataFrame, count: int, order: Sequence[str | Column]) -> DataFrame:
+    """Every row with its shard: its position in the file order modulo ``count``."""
+    return number_rows(rows, order, "__row").withColumn("shard", F.pmod("__row", F.lit(count))).drop("__row")
+
+
 def shard(rows: DataFrame, index: int, count: int, order: Sequence[str | Column]) -> DataFrame:
-    """Every ``count``-th row of the file order, starting at ``index``."""
-    return number_rows(rows, order, "__row").where(F.pmod("__row", F.lit(count)) == index).drop("__row")
+    """The rows one of ``count`` workers takes."""
+    return shard_of(rows, count, order).where(F.col("shard") == index).drop("shard")
 
 
 def final_outcomes(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str] = ("repo", "rep")) -> DataFrame:

@@ -36,6 +36,12 @@ def test_corpus_holdout_and_slots(corpus):
     assert rows(K.slots(table, ["0"], None, only=["three"]), "repo") == [("three",)]
 
 
+def test_gold(spark, tmp_path):
+    assert K.read_gold(spark, str(tmp_path)).count() == 0
+    (tmp_path / "one.json").write_text('{"units": [{"name": "u", "files": ["a", "b"]}]}')
+    assert rows(K.read_gold(spark, str(tmp_path))) == [("one", "a", "u"), ("one", "b", "u")]
+
+
 def test_git_log_and_strata(spark):
     log = spark.createDataFrame([("r", "s", "c2\na\nb\n\nc1\na\n\nmerge")], "repo string, sha string, value string")
     assert rows(K.parse_git_log(log), "age", "commit", "path") == [(0, "c2", "a"), (0, "c2", "b"), (1, "c1", "a")]
