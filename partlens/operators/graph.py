@@ -54,7 +54,8 @@ def cochange_edges(lines: DataFrame, keys: Sequence[str], commit: str = "commit"
     the collected set of a kept commit has at most ``max_items`` members.
     """
     commit_keys = [*keys, commit]
-    lines = lines.select(*commit_keys, F.col(item).alias("__item"))
+    # a line without a commit belongs to none; filtered here, both uses of the counts are one exchange
+    lines = lines.select(*commit_keys, F.col(item).alias("__item")).dropna(subset=commit_keys)
     counts = lines.groupBy(*commit_keys).agg(F.count(F.lit(1)).alias("__n"))
     kept = counts.where(F.col("__n").between(2, max_items)).drop("__n")
     giant = heaviest(counts.where(F.col("__n") > max_items), commit_keys, "__n")
@@ -119,6 +120,31 @@ def modularity(edges: DataFrame, assignment: DataFrame, graph_keys: Sequence[str
     )
 
 
+def modularity_of_columns(edges: DataFrame, nodes: DataFrame, graph_keys: Sequence[str],
+                          columns: Sequence[str]) -> DataFrame:
+    """Modularity of several partitions held as columns of one node table.
+
+    The same measure as ``modularity`` for partitions that share their nodes: an edge is
+    looked up once per end, whatever the number of partitions, and never multiplied.
+    Rows exist for graphs with edges; a null community adds nothing.
+    """
+    gk = list(graph_keys)
+    end = lambda n: nodes.select(*gk, F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns])
+    inside = edges.join(end("a"), [*gk, "a"], "left").join(end("b"), [*gk, "b"], "left").groupBy(*gk).agg(
+        (2 * F.sum("weight")).alias("m2"),
+        *[F.coalesce(F.sum(F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), F.col("weight"))), F.lit(0.0)).alias(f"in_{c}") for c in columns])
+    community = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("community")) for c in columns])).alias("p")
+    spread = (
+        degrees(edges, gk).join(nodes, [*gk, "node"]).select(*gk, "degree", community).where(F.col("p.community").isNotNull())
+        .groupBy(*gk, "p.part", "p.community").agg(F.sum("degree").alias("d"))
+        .groupBy(*gk).agg(*[
+            F.sum(F.when(F.col("part") == c, F.col("d") * F.col("d"))).alias(f"square_{c}") for c in columns])
+    )
+    q = lambda c: 2 * F.col(f"in_{c}") / F.col("m2") - F.coalesce(f"square_{c}", F.lit(0.0)) / (F.col("m2") * F.col("m2"))
+    return inside.join(spread, gk, "left").select(*gk, *[q(c).alias(c) for c in columns])
+
+
 def gain(q, *baselines) -> Column:
     """Modularity above the better of the baselines."""
     cols = [F.col(b) if isinstance(b, str) else b for b in baselines]

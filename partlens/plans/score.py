@@ -17,16 +17,16 @@ GK, RK = list(schemas.GRAPH_KEY), list(schemas.RUN_KEY)
 
 
 def baselines(edges: DataFrame, files: DataFrame, ceiling: DataFrame | None = None) -> DataFrame:
-    """q_one, q_dir and (when communities are given) q_ceiling per graph, in one pass."""
-    parts = F.explode(F.array(
-        F.struct(F.lit("one").alias("part"), F.lit("all").alias("community")),
-        F.struct(F.lit("dir").alias("part"), parent_dir("path").alias("community")))).alias("p")
-    nodes = files.select(*GK, F.col("path").alias("node"), parts).select(*GK, "p.part", "node", "p.community")
-    if ceiling is not None:
-        nodes = nodes.unionByName(ceiling.select(*GK, F.lit("ceiling").alias("part"), "node", "community"))
-    q = graph.modularity(edges, nodes, GK, ["part"])
-    at = lambda name: F.coalesce(F.max(F.when(F.col("part") == name, F.col("q"))), F.lit(0.0))
-    return q.groupBy(*GK).agg(at("one").alias("q_one"), at("dir").alias("q_dir"), at("ceiling").alias("q_ceiling"))
+    """q_one, q_dir and (when communities are given) q_ceiling per graph, in one pass.
+
+    The ceiling also places nodes outside the file list, which the baselines do not.
+    """
+    nodes = files.select(*GK, F.col("path").alias("node"), F.lit("all").alias("q_one"), parent_dir("path").alias("q_dir"))
+    columns = ["q_one", "q_dir"]
+    if ceiling is None:
+        return graph.modularity_of_columns(edges, nodes, GK, columns).withColumn("q_ceiling", F.lit(0.0))
+    nodes = nodes.join(ceiling.select(*GK, "node", F.col("community").alias("q_ceiling")), [*GK, "node"], "full")
+    return graph.modularity_of_columns(edges, nodes, GK, [*columns, "q_ceiling"])
 
 
 def _manifest_tables(manifests: DataFrame) -> dict[str, DataFrame]:

@@ -51,6 +51,17 @@ def test_modularity_equals_pair_sum(spark):
     assert {(r.g, r.part): r.q for r in got.collect()} == pytest.approx(want, abs=1e-12)
 
 
+def test_partitions_as_columns_give_the_same(spark):
+    rng = random.Random(8)
+    edges = random_graph(rng, 12, 25)
+    table = [(f"n{i:02}", rng.choice(["a", "b", None]), rng.choice(["x", "y", "z"])) for i in range(10)]  # two nodes unlisted
+    got = graph.modularity_of_columns(
+        spark.createDataFrame([("g", *e) for e in edges], "g string, a string, b string, weight double"),
+        spark.createDataFrame([("g", *r) for r in table], "g string, node string, p string, q string"), K, ["p", "q"]).first()
+    assert got.p == pytest.approx(brute_modularity({n: p for n, p, _ in table}, edges))
+    assert got.q == pytest.approx(brute_modularity({n: q for n, _, q in table}, edges))
+
+
 def test_cochange_counts_lines_before_duplicates(spark):
     lines = [("g", "c1", p) for p in "aabb"] + [("g", "c2", "a"), ("g", "c2", "a")] + [("g", "c3", p) for p in "abcde"]
     lines += [("g", "c4", "a"), ("g", "c4", "c"), ("g", "c5", "a")]
