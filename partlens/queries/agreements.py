@@ -36,8 +36,9 @@ h2 AS (SELECT p_size, -sum(m2.n/tot.n*ln(m2.n/tot.n)) AS h FROM m2 JOIN tot USIN
 mi AS (SELECT cells.p_size, sum(cells.n/tot.n*ln((cells.n/tot.n)/((m1.n/tot.n)*(m2.n/tot.n)))) AS i
   FROM cells JOIN tot USING (p_size) JOIN m1 USING (p_size, c1) JOIN m2 USING (p_size, c2) GROUP BY 1)
 SELECT p_size, tot.n::BIGINT AS n_items,
-  round((tot.s - s1.s*s2.s/(tot.n*(tot.n-1)/2)) / ((s1.s+s2.s)/2 - s1.s*s2.s/(tot.n*(tot.n-1)/2)), 6) AS ari,
-  round(mi.i / ((h1.h+h2.h)/2), 6) AS nmi
+  CASE WHEN tot.n < 2 THEN NULL WHEN (s1.s+s2.s)/2 = s1.s*s2.s/(tot.n*(tot.n-1)/2) THEN 1.0
+    ELSE round((tot.s - s1.s*s2.s/(tot.n*(tot.n-1)/2)) / ((s1.s+s2.s)/2 - s1.s*s2.s/(tot.n*(tot.n-1)/2)), 6) END AS ari,
+  CASE WHEN (h1.h+h2.h)/2 < 1e-12 THEN 1.0 ELSE round(mi.i / ((h1.h+h2.h)/2), 6) END AS nmi
 FROM tot JOIN s1 USING (p_size) JOIN s2 USING (p_size) JOIN h1 USING (p_size) JOIN h2 USING (p_size) JOIN mi USING (p_size)""")
 def ari_nmi(t: Tables) -> DataFrame:
     out = A.agreement(A.contingency(_by(t, "p_brand"), _by(t, "p_type"), K), K)
@@ -61,7 +62,7 @@ def embedding_agreement(t: Tables) -> DataFrame:
 
 
 @query("pair_jaccard", _CELLS + """
-SELECT p_size, round(b / (x + y - b), 6) AS jaccard FROM
+SELECT p_size, CASE WHEN x + y - b = 0 THEN 1.0 ELSE round(b / (x + y - b), 6) END AS jaccard FROM
   (SELECT p_size, sum(n*(n-1)/2) AS b FROM cells GROUP BY 1) JOIN
   (SELECT p_size, sum(n*(n-1)/2) AS x FROM m1 GROUP BY 1) USING (p_size) JOIN
   (SELECT p_size, sum(n*(n-1)/2) AS y FROM m2 GROUP BY 1) USING (p_size)""")
@@ -85,7 +86,7 @@ both_ AS (SELECT p_brand, r1, r2, sum(n*(n-1)/2) AS b FROM (
 
 
 @query("replicate_jaccard", _REPLICATES + """
-SELECT x.p_brand, round(avg(coalesce(b, 0) / (x.s + y.s - coalesce(b, 0))), 6) AS jaccard
+SELECT x.p_brand, round(avg(CASE WHEN x.s + y.s - coalesce(b, 0) = 0 THEN 1.0 ELSE coalesce(b, 0) / (x.s + y.s - coalesce(b, 0)) END), 6) AS jaccard
 FROM own x JOIN own y ON x.p_brand = y.p_brand AND x.rep < y.rep
 LEFT JOIN both_ ON both_.p_brand = x.p_brand AND r1 = x.rep AND r2 = y.rep GROUP BY 1""")
 def replicate_jaccard(t: Tables) -> DataFrame:

@@ -58,10 +58,13 @@ v AS (SELECT repo, rep, unit, 'ep' AS k, value, 1 AS c, 0 AS a FROM listed UNION
 p AS (SELECT repo, rep, unit, k, value, max(c) AS c, max(a) AS a FROM v GROUP BY ALL),
 u AS (SELECT repo, rep, unit, k, sum(c * a) / nullif(sum(a), 0)::DOUBLE AS r, sum(a) - sum(c * a) AS missed FROM p GROUP BY ALL),
 con AS (SELECT repo, rep, avg(r) FILTER (k = 'ep') AS ep_r, avg(r) FILTER (k = 'ef') AS ef_r, count(*) FILTER (k = 'ep' AND missed > 0) AS n_missed FROM u GROUP BY ALL)
-SELECT repo, rep, n_units, round(coverage, 3) AS coverage, round(singleton, 3) AS singleton_unit_frac, round(edge_resolution, 3) AS edge_resolution,
-  round(q_llm, 4) AS q_llm, round(q_dir, 4) AS q_dir, round(q_llm - greatest(0, q_dir), 4) AS q_gain_dir, round(ep_r, 4) AS entrypoint_r, round(ef_r, 4) AS effects_r,
-  n_missed AS units_with_missed_entrypoints, coverage >= 0.95 AND edge_resolution >= 0.9 AND NOT (n_units <= 1 OR n_owned > 3 AND n_units >= 0.8 * n_owned) AS valid_nontrivial
-FROM runs JOIN counts USING (repo, rep) JOIN cover USING (repo, rep) JOIN q USING (repo, rep) JOIN qd USING (repo) JOIN res USING (repo, rep) JOIN con USING (repo, rep)
+SELECT repo, rep, coalesce(n_units, 0) AS n_units, round(coalesce(coverage, 0), 3) AS coverage, round(singleton, 3) AS singleton_unit_frac,
+  round(coalesce(edge_resolution, 1), 3) AS edge_resolution, round(coalesce(q_llm, 0), 4) AS q_llm, round(coalesce(q_dir, 0), 4) AS q_dir,
+  round(coalesce(q_llm, 0) - greatest(0, coalesce(q_dir, 0)), 4) AS q_gain_dir, round(ep_r, 4) AS entrypoint_r, round(ef_r, 4) AS effects_r,
+  n_missed AS units_with_missed_entrypoints, coalesce(coverage, 0) >= 0.95 AND coalesce(edge_resolution, 1) >= 0.9
+    AND NOT (coalesce(n_units, 0) <= 1 OR n_owned > 3 AND n_units >= 0.8 * n_owned) AS valid_nontrivial
+FROM runs LEFT JOIN counts USING (repo, rep) LEFT JOIN cover USING (repo, rep) LEFT JOIN q USING (repo, rep) LEFT JOIN qd USING (repo)
+LEFT JOIN res USING (repo, rep) LEFT JOIN con USING (repo, rep)
 """
 
 
