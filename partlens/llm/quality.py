@@ -121,11 +121,8 @@ def thresholds(bins: DataFrame) -> DataFrame:
     by_source = _quantiles(bins, ["lang", "source"], "own")
     by_lang = _quantiles(bins.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")), ["lang"], "of_lang")
     overall = _quantiles(bins.groupBy("measure", "bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"], "of_all")
-    joined = (
-        by_source.join(by_lang, same(by_source, by_lang, ["lang"]), "left").drop(by_lang["lang"])
-        .withColumn("one", F.lit(1)).join(overall, "one", "left").drop("one")
-    )
-    pick = F.when(F.col("own.n") >= MIN_DOCUMENTS, F.col("own")).when(F.col("of_lang.n") >= MIN_DOCUMENTS, F.col("of_lang")).otherwise(F.col("of_all"))
+    joined = by_source.join(by_lang, same(by_source, by_lang, ["lang"]), "left").drop(by_lang["lang"])
+    pick = F.when(F.col("own.n") >= MIN_DOCUMENTS, F.col("own")).when(F.col("of_lang.n") >= MIN_DOCUMENTS, F.col("of_lang")).otherwise(overall.select("of_all").scalar())
     chosen = joined.select("lang", "source", pick.alias("q"))
 
     def reach(k: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact, lines, quality
+import public_tokenizers
+
+from . import chat, exact, licenses, lines, packing, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -14,6 +16,8 @@ def _query(name, table, build, sql=None):
 
 
 _query("op1_quality_rules", "documents", quality.judge, quality.ORACLE)
+_query("op2_best_fit_packing", "documents", lambda docs: packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 _query("op3_exact_dedup", "documents", exact.assign, exact.ORACLE)
+_query("op7_license_scan", "documents", licenses.scan, licenses.oracle())
 _query("op8_line_dedup", "documents", lines.digest, lines.ORACLE)
 _query("op9_chat_formatting", "conversations", chat.digest, chat.ORACLE)
