@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, exact, jaccard, licenses, lines, packing, quality
+from . import chat, exact, jaccard, licenses, lines, packing, quality, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,3 +22,4 @@ _query("op7_license_scan", "documents", licenses.scan, licenses.oracle())
 _query("op8_line_dedup", "documents", lines.digest, lines.ORACLE)
 _query("op9_chat_formatting", "conversations", chat.digest, chat.ORACLE)
 _query("op5_ngram_jaccard_join", "documents", jaccard.digest)
+_query("op6_suffix_array_dedup", "documents", suffixes.digest)
