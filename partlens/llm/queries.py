@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, exact, jaccard, licenses, lines, packing, quality, sentencepieces, suffixes
+from . import chat, exact, jaccard, licenses, lines, mixing, packing, quality, sentencepieces, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,3 +24,4 @@ _query("op9_chat_formatting", "conversations", chat.digest, chat.ORACLE)
 _query("op5_ngram_jaccard_join", "documents", jaccard.digest)
 _query("op6_suffix_array_dedup", "documents", suffixes.digest)
 _query("op4_sentencepiece", "documents", lambda docs: sentencepieces.digest(docs, public_tokenizers.path("piece_bpe_32k.model")))
+_query("op10_lm_scoring", "documents", mixing.score)
