@@ -17,7 +17,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 #: Bytes of text that a task turns into arrays at once; a longer single text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,9 +39,9 @@ def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return on
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """Join to a written table; it is broadcast only if its counted rows are few, else both sides are shuffled."""
-    small = right.count() <= BROADCAST_ROWS
+def join_counted(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join to a written table; it is broadcast only if it has no more than ``rows`` rows, else both sides are shuffled."""
+    small = right.count() <= rows
     return left.join(F.broadcast(right) if small else right, on, how)
 
 

@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ SPAN = 400
 GRAM = 100
 SHALLOW = 32
 GROUP = 20_000
+#: Rows with lists of places or stretches that may be broadcast.
+LISTED = 2_000
 _STEP = 8
 
 
@@ -291,7 +294,7 @@ def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
     places = grams.join(shared, "gram", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("places"))
     counted = texts.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max(F.length("body")).alias("size"))
     chosen = written(places.join(counted, "tid").select(F.col("tid").alias("__t"), "places", "owner"))
-    bodies = join_counted(texts, chosen, (texts["tid"] == chosen["__t"]) & texts["doc_id"].eqNullSafe(chosen["owner"]))
+    bodies = join_counted(texts, chosen, (texts["tid"] == chosen["__t"]) & texts["doc_id"].eqNullSafe(chosen["owner"]), rows=LISTED)
     contexts = written(bodies.select("tid", "body", "places").mapInArrow(_contexts, _CONTEXT))
     key = ["gram", "ahead", "h1", "h2"]
     kinds = contexts.groupBy(*key).agg((F.min(place) != F.max(place)).alias("multi"), F.length(F.first("context")).alias("size"))
@@ -314,7 +317,7 @@ def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for x in found or ():
+    for x in () if found is None else found:
         if out and x["start"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], x["end"])
         else:
@@ -332,7 +335,7 @@ def _rest(body: bytes, cut: list[tuple[int, int]]) -> bytes:
 def _marked(documents: DataFrame, group: int) -> DataFrame:
     texts = _texts(documents)
     found = written(spans(texts, group)).select(F.col("tid").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
-    return join_counted(texts, found, texts["__tid"] == found["__t"], "left").drop("__t")
+    return join_counted(texts, found, texts["__tid"] == found["__t"], "left", LISTED).drop("__t")
 
 
 def digest(documents: DataFrame, group: int = GROUP) -> DataFrame:
@@ -356,7 +359,7 @@ def cut_documents(documents: DataFrame, group: int = GROUP) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(bodies, found):
-        return bodies.combine(found, lambda b, f: _rest(bytes(b), merged(f)).decode("utf-8", "ignore"))
+        return pd.Series([_rest(bytes(b), merged(f)).decode("utf-8", "ignore") for b, f in zip(bodies, found)])
 
     cut = F.col("__spans").isNotNull()
     marked = _marked(documents, group).withColumn("text", F.when(cut, rest("__body", "__spans")).otherwise(F.col("text")))
