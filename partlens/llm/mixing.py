@@ -41,7 +41,7 @@ from .tables import written
 DICTIONARY = 1 << 19
 DETAIL = 3
 SLOTS = 1 << 20
-STRETCH = 256
+STRETCH = 128
 RATE = 0.01
 MAP_RATE = 0.02
 
@@ -49,10 +49,10 @@ _ORDERS = 3
 _END = np.uint64(0x0E4D0F7E87)
 _LEVELS = 5  # bits that say how many digits a rank has
 _ESCAPE = 31
-_NODES = 1 << (_LEVELS + DETAIL + 3)
 _GATES = (_LEVELS + DETAIL) * 4
 _BINS = 24
 _PARTS = 64
+_SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 _LETTERS = 257  # a byte or the end of a word
 _CONTEXTS = 16384  # hashed contexts of three letters
 _PRIOR = 2.0  # a context seen n times has n / (n + _PRIOR) of the say over the shorter one
@@ -140,24 +140,23 @@ class Dictionary:
         at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
         return np.where(self.tokens[at] == values, at, -1)[back]
 
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ranks by index, -1 for those outside."""
+        return np.where(at < 0, -1, self.ranks[at]) if len(self.ranks) else at
+
 
 def _bits_of(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Modelled bits of tokens (rank -1: outside): for all tokens by column, node, bit, whether there; and free digits."""
+    """Modelled bits of tokens (rank -1: outside), one after the other: nodes and bits; how many each token has; its free digits."""
     digits = np.where(ranks < 0, _ESCAPE, np.frexp((ranks + 1).astype(np.float64))[1] - 1)
     rest = np.where(ranks < 0, 0, digits)
-    nodes = np.empty((len(ranks), _LEVELS + DETAIL), dtype=np.int64)
-    bits = np.zeros((len(ranks), _LEVELS + DETAIL), dtype=np.int8)
-    there = np.ones((len(ranks), _LEVELS + DETAIL), dtype=bool)
-    node = np.ones(len(ranks), dtype=np.int64)
-    for k in range(_LEVELS):
-        bit = digits >> (_LEVELS - 1 - k) & 1
-        nodes[:, k], bits[:, k] = node, bit
-        node = 2 * node + bit
-    for k in range(DETAIL):
-        bit = np.where(rest > k, (ranks + 1) >> np.maximum(rest - 1 - k, 0) & 1, 0)
-        nodes[:, _LEVELS + k], bits[:, _LEVELS + k], there[:, _LEVELS + k] = node, bit, rest > k
-        node = 2 * node + bit
-    return nodes, bits, there, np.maximum(rest - DETAIL, 0)
+    # the walk: digits of the count of digits, then leading digits of the rank, as one number with a leading 1
+    taken = np.minimum(rest, DETAIL)
+    size = _LEVELS + taken
+    walk = (((1 << _LEVELS) + digits) << taken) + (np.where(ranks < 0, 0, (ranks + 1) >> (rest - taken)) & ((1 << taken) - 1))
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - place
+    steps = np.repeat(walk, size) >> (left - 1)
+    return steps >> 1, (steps & 1).astype(np.int8), size, rest - taken
 
 
 def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -170,9 +169,11 @@ def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     return [np.zeros_like(hashes), one, mix(one + mix(two + np.uint64(2)))]
 
 
-def _slots(context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Slots of a context's nodes; the walk's first bits stay near each other."""
-    return (mix(context[:, None] + (nodes.astype(np.uint64) << np.uint64(1)) + np.uint64(1)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Slots of modelled bits; without a context the node itself is one."""
+    if not order:
+        return nodes
+    return (((context ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64)
 
 
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +199,9 @@ def _train(dictionary):
         for batch in slices(batches, "body"):
             rows, hashes, data, starts, ends = _tokens(batch.column("body"))
             at = found.find(hashes)
-            nodes, bits, there, _ = _bits_of(np.where(at < 0, -1, found.ranks[at]) if len(found.ranks) else at)
+            nodes, bits, size, _ = _bits_of(found.rank(at))
             for order, context in enumerate(_contexts(rows, hashes)):
-                cell = (_slots(context, nodes)[there] << 1) + bits[there]
+                cell = (_slots(order, np.repeat(context, size), nodes) << 1) + bits
                 totals[order * 2 * SLOTS: (order + 1) * 2 * SLOTS] += np.bincount(cell, minlength=2 * SLOTS)
             kinds = np.unique(hashes, return_index=True)[1]
             kinds = kinds[ends[kinds] > starts[kinds]]
@@ -265,66 +266,71 @@ def _shared(share: _Share):
     return _held[share.key]
 
 
-def bits(model: Model, column: pa.Array) -> np.ndarray:
-    """Bits of every text."""
-    rows, hashes, data, starts, ends = _tokens(column)
-    at = model.dictionary.find(hashes)
-    nodes, bit, there, free = _bits_of(np.where(at < 0, -1, model.dictionary.ranks[at]) if len(model.dictionary.ranks) else at)
-    total = np.bincount(rows, weights=free, minlength=len(column))
+def bits(model: Model, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray) -> np.ndarray:
+    """Bits of ``n`` texts, from their tokens and the tokens' indices in the dictionary."""
+    rows, hashes, data, starts, ends = tokens
+    nodes, bit, size, free = _bits_of(model.dictionary.rank(at))
+    total = np.bincount(rows, weights=free, minlength=n)
     outside = (at < 0) & (ends > starts)
     if outside.any():
-        word, pair = _letters(data, starts[outside], ends[outside])
-        total -= np.bincount(rows[outside][word], weights=model.letters[pair], minlength=len(column))
-    inputs = np.empty((_ORDERS, int(there.sum())), dtype=np.float32)
+        word, cell = _letters(data, starts[outside], ends[outside])
+        total -= np.bincount(rows[outside][word], weights=model.letters[cell], minlength=n)
+    inputs = np.empty((_ORDERS, len(nodes)), dtype=np.float32)
     for order, context in enumerate(_contexts(rows, hashes)):
-        slot = _slots(context, nodes)[there]
+        slot = _slots(order, np.repeat(context, size), nodes)
         inputs[order] = model.logits[order][slot]
-        gate = model.seen[order][slot]
+        seen = model.seen[order][slot]
         if order:
-            say = _SAY[gate]
-            inputs[order] = say * inputs[order] + (1 - say) * inputs[order - 1]
-    level = np.broadcast_to(np.arange(nodes.shape[1]), nodes.shape)[there]
-    gate = level * 4 + np.minimum((gate.astype(np.int64) + 1) // 2, 3)
-    counts = np.bincount(rows, minlength=len(column))
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-    stretch = np.cumsum((place % STRETCH == 0)) - 1
-    size = there.sum(axis=1)
-    steps = np.bincount(stretch, weights=size).astype(np.int64)
-    cost = _mixed(inputs, gate, bit[there], steps)
-    total += np.bincount(rows[np.flatnonzero(place % STRETCH == 0)], weights=cost, minlength=len(column))
-    return total
+            inputs[order] = inputs[order - 1] + _SAY[seen] * (inputs[order] - inputs[order - 1])
+    level = np.arange(len(nodes)) - np.repeat(np.cumsum(size) - size, size)
+    gate = level * 4 + np.minimum((seen + 1) // 2, 3)
+    counts = np.bincount(rows, minlength=n)
+    new = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)) % STRETCH == 0
+    steps = np.add.reduceat(size, np.flatnonzero(new))
+    return total + np.bincount(rows[new], weights=_mixed(inputs, gate, bit, steps), minlength=n)
 
 
 def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """Bits of every stretch, read side by side: step t takes the t-th bit of all stretches that have one."""
+    n = len(steps)
     order = np.argsort(-steps, kind="stable")
-    first = (np.cumsum(steps) - steps)[order]
+    lane = np.empty(n, dtype=np.int64)
+    lane[order] = np.arange(n)
     alive = np.searchsorted(-steps[order], -np.arange(steps.max()), side="left")
-    n = len(steps)
+    begin = np.concatenate([[0], np.cumsum(alive)])
+    own = np.repeat(lane, steps)
+    time = np.arange(len(bit)) - np.repeat(np.cumsum(steps) - steps, steps)
+    to = begin[time] + own
+    x = np.empty_like(inputs)
+    x[:, to] = inputs
+    cells = np.empty(len(bit), dtype=np.int64)
+    cells[to] = own * _GATES + gate
+    y = np.empty(len(bit), dtype=np.float32)
+    y[to] = bit
+    logits = np.empty(len(bit), dtype=np.float32)
+    maps = np.empty(len(bit), dtype=np.float32)
     weights = np.repeat(np.array(_INITIAL, dtype=np.float32)[:, None], n * _GATES, axis=1)
-    edges = np.linspace(-8, 8, _BINS).astype(np.float32)
-    refined = np.tile(1 / (1 + np.exp(-edges)), n).astype(np.float32)
-    cost = np.zeros(n)
-    lanes, bins = np.arange(n) * _GATES, np.arange(n) * _BINS
-    sign = bit.astype(np.float32)
-    for t in range(int(steps.max())):
-        m = alive[t]
-        at = first[:m] + t
-        x = inputs[:, at]
-        cell = lanes[:m] + gate[at]
-        w = weights[:, cell]
-        logit = np.clip((w * x).sum(axis=0), -11, 11)
-        y = sign[at]
-        p = 1 / (1 + np.exp(-logit))
-        weights[:, cell] = w + (RATE * (y - p)) * x
-        spot = bins[:m] + np.clip(np.rint((logit + 8) * ((_BINS - 1) / 16)), 0, _BINS - 1).astype(np.int64)
+    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, _BINS))), n).astype(np.float32)
+    bins, scale, one = np.arange(n) * _BINS, np.float32((_BINS - 1) / 16), np.float32(1)
+    rate, map_rate = np.float32(RATE), np.float32(MAP_RATE)
+    for t, m in enumerate(alive.tolist()):
+        now = slice(begin[t], begin[t] + m)
+        cell, xs, ys = cells[now], x[:, now], y[now]
+        w = weights.take(cell, axis=1)
+        logit = (w * xs).sum(axis=0)
+        np.minimum(np.maximum(logit, np.float32(-8), out=logit), np.float32(8), out=logit)
+        logits[now] = logit
+        error = ys - one / (one + np.exp(-logit))
+        error *= rate
+        w += error * xs
+        weights[:, cell] = w
+        spot = bins[:m] + ((logit + np.float32(8)) * scale + np.float32(0.5)).astype(np.int64)
         r = refined[spot]
-        refined[spot] = r + MAP_RATE * (y - r)
-        q = (p + r) * np.float32(0.5)
-        cost[:m] -= np.log2(np.where(y > 0, q, 1 - q))
-    out = np.empty(n)
-    out[order] = cost
-    return out
+        maps[now] = r
+        refined[spot] = r + map_rate * (ys - r)
+    q = (one / (one + np.exp(-logits)) + maps) * np.float32(0.5)
+    cost = -np.log2(np.where(y > 0, q, one - q))
+    return np.bincount(own, weights=cost[to], minlength=n)[lane]
 
 
 _SCORED = "row long, doc_id long, n_tokens long, known long, known_score double, n_bytes long, bits double, rare binary"
@@ -334,9 +340,10 @@ def _score(model_share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _shared(model_share)
         logs = np.log10(model.dictionary.counts + 0.1)
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", 2 << 20):
             column = batch.column("body")
-            rows, hashes = _tokens(column)[:2]
+            tokens = _tokens(column)
+            rows, hashes = tokens[:2]
             at = model.dictionary.find(hashes)
             inside = at >= 0
             n = batch.num_rows
@@ -349,7 +356,7 @@ def _score(model_share):
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.bincount(rows, minlength=n)),
                 "known": pa.array(known), "known_score": pa.array(score), "n_bytes": pa.array(np.diff(buffer_of(column)[1])),
-                "bits": pa.array(bits(model, column)), "rare": pa.array(packed, pa.binary())})
+                "bits": pa.array(bits(model, n, tokens, at)), "rare": pa.array(packed, pa.binary())})
 
     return run
 
