@@ -24,12 +24,16 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,52 +43,122 @@ from .common import slices
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 300_000
 
 #: A document can be cut into pieces of these columns; ids are little-endian unsigned 32-bit.
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 class WordEncoder:
-    """Ids of whole texts, put together from the ids of their blank-separated parts.
+    """Ids of whole texts, put together from the ids of their blank-separated words.
 
-    The tokenizer drops white space and never joins across it, so parts can be encoded
-    once; at most two generations of ``CACHED_WORDS`` parts are kept.
+    The tokenizer drops white space, never joins across it, and splits words into runs of
+    letters, single digits and runs of the rest; words and runs are encoded once and kept,
+    in at most two generations of ``CACHED_WORDS`` each. Words of one run and those that its normaliser could treat
+    otherwise than run by run (apostrophes, special tokens, letters that change with their
+    neighbours) are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._young, self._old = Tokenizer.from_file(path), {}, {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        needed = set().union(*split)
-        if len(self._young) > CACHED_WORDS:
-            self._young, self._old = {}, self._young
-        missing = []
-        for word in needed.difference(self._young):
-            ids = self._old.get(word)
-            if ids is None:
-                missing.append(word)
+        self._tokenizer = Tokenizer.from_file(path)
+        self._words, self._runs = _Kept(), _Kept()
+
+    def _encode(self, texts: list[str], kept: _Kept) -> None:
+        for text, found in zip(texts, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            kept.young[text] = array("I", found.ids).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        whole, split = [], {}
+        for word in words:
+            if word.isalpha() or "'" in word or "<|" in word:
+                whole.append(word)
+            elif word.isascii():
+                split[word] = _ASCII_RUNS(word.lower())
+            elif _ODD.isdisjoint(word) and unicodedata.is_normalized("NFC", word):
+                split[word] = _RUNS(word.lower())
             else:
-                self._young[word] = ids
-        for word, found in zip(missing, self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)):
-            self._young[word] = array("I", found.ids).tobytes()
-        known = self._young.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+                whole.append(word)
+        self._encode(whole, self._words)
+        self._encode(self._runs.missing({run for runs in split.values() for run in runs}), self._runs)
+        known = self._runs.young.__getitem__
+        for word, runs in split.items():
+            self._words.young[word] = b"".join(map(known, runs))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text begins in them."""
+        lists = pc.ascii_split_whitespace(_parted(texts))
+        coded = lists.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(self._words.missing(words))
+        found = list(map(self._words.young.__getitem__, words))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype=np.uint32)
+        length = sizes[places]
+        ends = np.cumsum(length)
+        source = np.repeat((np.cumsum(sizes) - sizes)[places] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        words_before = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        return ids[source], np.concatenate([[0], ends])[words_before]
+
+
+#: Letters whose small form depends on their neighbours or is two characters.
+_ODD = frozenset("\u03a3\u0130")
+_ASCII_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
+_RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """Texts that the tokenizer reads alike and that have fewer different words: small ASCII letters, and a blank
+    after letters where a mark follows. Texts with what may be a special token stay as they are."""
+    parted = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-zß-öø-ÿ])([!-/:-@\\[-`{-~])", r"\1 \2")
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, parted)
+
+
+class _Kept:
+    """Encodings in two generations: what was not used since the last change of generation goes."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def missing(self, texts: Iterable[str]) -> list[str]:
+        """Those without an encoding; the others are in ``young`` then."""
+        if len(self.young) > CACHED_WORDS:
+            self.young, self._old = {}, self.young
+        out = []
+        for text in texts:
+            if text not in self.young:
+                ids = self._old.get(text)
+                if ids is None:
+                    out.append(text)
+                else:
+                    self.young[text] = ids
+        return out
+
+
+#: Encoder of this Python worker by path; a worker serves many tasks, and what it has learned stays.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces(documents: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Pieces of every document; ``tokenizer`` is the path of the tokenizer's file."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = WordEncoder(tokenizer), array("I", [END]).tobytes(), 4 * CAPACITY
-        for batch in slices(batches, "body"):
+        encoder, end, step = encoder_of(tokenizer), array("I", [END]).tobytes(), 4 * CAPACITY
+        for batch in slices(batches, "body", 8 << 20):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("body").to_pylist())):
-                ids += end
+            flat, starts = encoder.encode(batch.column("body"))
+            for doc, first, last in zip(batch.column("doc_id").to_pylist(), starts.tolist(), starts[1:].tolist()):
+                ids = flat[first:last].tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
@@ -92,7 +166,7 @@ def pieces(documents: DataFrame, tokenizer: str, with_ids: bool = False) -> Data
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
     return texts.mapInArrow(cut, PIECE)
 
 
