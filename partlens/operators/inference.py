@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, hash_index, ratio
+from ..session import materialize
 from .keyed import positions_within
 from .summary import UNIT_OUTCOMES
 
@@ -22,12 +23,8 @@ VALIDITY_SLACK = 1.0 / 3
 STABILITY_DROP = 0.15
 CONTRACT_DROP = 0.05
 COST_NOTE_PERCENT = 25
-MAX_REPLICATES = 64
-
-# A seeded generator is one sequence that cannot be cut. Up to this many values per key
-# it is written out by one task; beyond that a draw is a hash of (draw, position).
-SEEDED_STREAM_LIMIT = 20_000_000
-
+AA_REPLICATES = 6
+VARIANCE_EPSILON = 1e-28
 
 def percentile_positions(draws: int, alpha: float) -> tuple[int, int]:
     """0-based positions of the lower and upper bound among sorted draws (truncated)."""
@@ -58,36 +55,36 @@ def _seeded_picks(sizes: DataFrame, draws: int, repeats: int, seed: int = 0) ->
 
 
 def bootstrap(deltas: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "delta",
-              alpha: float = ALPHA, draws: int = DRAWS, stream: str = "auto",
+              alpha: float = ALPHA, draws: int = DRAWS, stream: str = "hash",
               repeat: str | None = None, repeats: int = 1) -> DataFrame:
     """Percentile interval of the mean of paired deltas, per key: n, observed, lo, hi.
 
     Clusters are put in ``order``; a draw picks as many of them, with replacement.
-    ``stream`` is ``seeded`` (the generator stored results were made with), ``hash``
-    (any SQL engine can repeat it) or ``auto``: seeded while that sequence is short.
-    With ``repeat`` one generator runs on across the values of that column.
+    ``stream`` is ``hash``, which is cut anywhere and which any SQL engine can repeat, or
+    ``seeded`` on request: the generator stored results were made with, one sequence that
+    one task writes out. With ``repeat`` one seeded generator runs on across the values of that column.
     Picks grow with clusters x draws and are made where the clusters are; the values
     are looked up by position and averaged per draw, combined before the shuffle.
     """
     keys = list(keys)
+    if not keys:
+        one = bootstrap(deltas.withColumn("__one", F.lit(1)), ["__one"], order, value, alpha, draws, stream)
+        return one.drop("__one")
     ranked = positions_within(deltas.select(*keys, *order, value), keys, order)
     info = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("observed"))
-    limit = {"seeded": None, "hash": 0, "auto": SEEDED_STREAM_LIMIT // (draws * repeats)}[stream]
-    short = F.lit(True) if limit is None else F.col("n") <= limit
-    parts = []
-    if stream != "hash":
-        seeded = _seeded_picks(info.where(short).select("n").distinct(), draws, repeats)
+    if stream == "seeded":
+        seeded = _seeded_picks(info.select("n").distinct(), draws, repeats)
+        on = ["n"]
         if repeat is not None:
-            seeded = seeded.withColumn(repeat, F.col("repeat"))
-            parts.append(info.where(short).join(seeded, ["n", repeat]).select(*keys, "draw", "pick"))
-        else:
-            parts.append(info.where(short).join(seeded, "n").select(*keys, "draw", "pick"))
-    if stream != "seeded":
-        slots = ranked.join(info.where(~short) if stream == "auto" else info, keys).select(
+            seeded, on = seeded.withColumn(repeat, F.col("repeat")), ["n", repeat]
+        picks = info.join(seeded, on).select(*keys, "draw", "pick")
+    elif stream == "hash":
+        slots = ranked.join(info, keys).select(
             *keys, "n", "position", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        parts.append(slots.select(*keys, "draw", hash_index(
-            F.concat_ws(":", F.col("draw"), F.col("position")), F.col("n")).alias("pick")))
-    picks = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        picks = slots.select(*keys, "draw", hash_index(
+            F.concat_ws(":", F.col("draw"), F.col("position")), F.col("n")).alias("pick"))
+    else:
+        raise ValueError(f"no stream of draws is called {stream}")
     means = (
         picks.join(ranked.select(*keys, F.col("position").alias("pick"), F.col(value).alias("__v")), [*keys, "pick"])
         .groupBy(*keys, "draw").agg(F.avg("__v").alias("m"))
@@ -108,7 +105,7 @@ def paired(summary: DataFrame, comparisons: DataFrame, label: str = "label", rep
 
 
 def decide(pairs: DataFrame, comparisons: DataFrame, keys: Sequence[str] = ("comparison",), repo: str = "repo",
-           alpha: float = ALPHA, draws: int = DRAWS, stream: str = "auto") -> DataFrame:
+           alpha: float = ALPHA, draws: int = DRAWS, stream: str = "hash") -> DataFrame:
     """KEEP or REVERT per comparison.
 
     In this order: at least three common repositories, validity gate, stability gate,
@@ -187,7 +184,7 @@ def unit_deltas(means: DataFrame, comparisons: DataFrame, outcomes: Sequence[str
     )
 
 
-def decide_units(deltas: DataFrame, alpha: float = ALPHA, draws: int = DRAWS, stream: str = "auto",
+def decide_units(deltas: DataFrame, alpha: float = ALPHA, draws: int = DRAWS, stream: str = "hash",
                  repo: str = "repo") -> DataFrame:
     """Cluster bootstrap per outcome; the advisory verdict sits on entrypoint recall.
 
@@ -218,13 +215,20 @@ def icc1(values: DataFrame, group: str | Sequence[str], value: str = "value", ke
         .agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
         .where(F.col("n") >= 2)
     )
+    per_group = materialize(per_group)
     n, m = F.col("n").cast("double"), F.col("m")
-    sums = per_group.groupBy(*keys).agg(
+    grand = per_group.groupBy(*keys).agg((F.sum(n * m) / F.sum(n)).alias("grand"))
+    centred = per_group.join(grand, keys) if keys else per_group.withColumn("grand", grand.select("grand").scalar())
+    off = m - F.col("grand")
+    sums = centred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_groups"), F.avg(n).alias("size"), F.sum(n).alias("total"),
-        F.sum(n * m).alias("s1"), F.sum(n * m * m).alias("s2"), F.sum(n * F.col("v")).alias("sw"),
+        F.sum(n * off * off).alias("sb"), F.sum(n * F.col("v")).alias("sw"), F.first("grand").alias("grand"),
     )
-    msb = ratio(F.col("s2") - F.col("s1") * F.col("s1") / F.col("total"), F.col("n_groups") - 1)
-    msw = ratio("sw", F.col("total") - F.col("n_groups"))
+    # what rounding alone makes of equal values counts as no variance
+    noise = VARIANCE_EPSILON * F.col("grand") * F.col("grand")
+    real = lambda c: F.when(c <= noise, F.lit(0.0)).otherwise(c)
+    msb = real(ratio("sb", F.col("n_groups") - 1))
+    msw = real(ratio("sw", F.col("total") - F.col("n_groups")))
     sums = sums.withColumn("msb", msb).withColumn("msw", msw)
     enough = F.col("n_groups") >= 2
     bottom = F.col("msb") + (F.col("size") - 1) * F.col("msw")
@@ -249,28 +253,49 @@ def spearman(df: DataFrame, first: str, second: str, tie: str, keys: Sequence[st
 def aa_splits(reps: Sequence[str]) -> list[tuple[str, ...]]:
     """Every three replicates that hold the first one; the rest form the other side."""
     reps = sorted(reps)
-    if len(reps) > MAX_REPLICATES:
-        raise ValueError(f"{len(reps)} replicate ids; an A/A test is laid out for at most {MAX_REPLICATES}")
-    return [s for s in combinations(reps, 3) if s[0] == reps[0]] if len(reps) >= 6 else []
+    return [s for s in combinations(reps, 3) if s[0] == reps[0]] if len(reps) >= AA_REPLICATES else []
 
 
-def aa_test(runs: DataFrame, splits: Sequence[Sequence[str]], value: str = "q_gain_dir", repo: str = "repo",
-            rep: str = "rep", alpha: float = ALPHA, draws: int = AA_DRAWS, stream: str = "auto") -> DataFrame:
-    """Replicates of one label split against each other: rate of (false) KEEPs.
+def aa_members(runs: DataFrame, rep: str = "rep") -> DataFrame:
+    """The splits of ``aa_splits`` for all replicates in ``runs``: split, rep of each of its three members.
 
-    All splits run in one job: a run is expanded to its side in each split, and the
-    bootstrap is keyed by the split.
+    None below six replicates. Pairs of positions are made from the one sorted list of
+    replicate ids, so their number is that of the splits and nothing reaches the driver.
     """
-    side = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("split"), F.col(rep).cast("string").isin(*map(str, s)).alias("first"))
-        for i, s in enumerate(splits)
-    ]))
-    means = (
-        runs.select(repo, value, side.alias("s")).groupBy(F.col("s.split").alias("split"), repo)
-        .agg((F.avg(F.when(~F.col("s.first"), F.col(value)))
-              - F.avg(F.when(F.col("s.first"), F.col(value)))).alias("delta"))
-        .where(F.col("delta").isNotNull())
+    ids = runs.select(F.col(rep).cast("string").alias("rep")).where("rep IS NOT NULL").distinct()
+    listed = ids.agg(F.array_sort(F.collect_list("rep")).alias("reps")).where(F.size("reps") >= AA_REPLICATES)
+    n = F.size("reps")
+    pairs = (
+        listed.select("reps", F.explode(F.sequence(F.lit(1), n - 2)).alias("i"))
+        .select("reps", "i", F.explode(F.sequence(F.col("i") + 1, n - 1)).alias("j"))
     )
+    before = (F.col("i") - 1) * (n - 1) - F.col("i") * (F.col("i") - 1) / 2
+    split = (before + F.col("j") - F.col("i") - 1).cast("int")
+    members = F.array(F.get("reps", F.lit(0)), F.get("reps", F.col("i")), F.get("reps", F.col("j")))
+    return pairs.select(split.alias("split"), F.explode(members).alias("rep"))
+
+
+def aa_test(runs: DataFrame, splits: Sequence[Sequence[str]] | None = None, value: str = "q_gain_dir", repo: str = "repo",
+            rep: str = "rep", alpha: float = ALPHA, draws: int = AA_DRAWS, stream: str = "hash") -> DataFrame:
+    """Replicates of one label split against each other: rate of (false) KEEPs.
+
+    Runs are added up per repository and replicate first; a split takes three of these sums
+    from the repository's total. All splits (those of ``aa_members`` unless given) run in one
+    job, and the bootstrap is keyed by the split.
+    """
+    if splits is None:
+        members = aa_members(runs, rep)
+    else:
+        rows = [(i, str(r)) for i, s in enumerate(splits) for r in s]
+        members = runs.sparkSession.createDataFrame(rows, "split int, rep string")
+    if stream == "seeded" and splits is None:
+        raise ValueError("a seeded generator runs through a given list of splits")
+    sums = materialize(runs.groupBy(F.col(repo).alias("__repo"), F.col(rep).cast("string").alias("rep")).agg(
+        F.sum(value).alias("s"), F.count(value).alias("c")))
+    whole = sums.groupBy("__repo").agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
+    inside = sums.join(members, "rep").groupBy("split", "__repo").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    delta = ratio(F.col("all_s") - F.col("s"), F.col("all_c") - F.col("c")) - ratio("s", "c")
+    means = inside.join(whole, "__repo").select("split", F.col("__repo").alias(repo), delta.alias("delta")).where(F.col("delta").isNotNull())
     out = bootstrap(means, ["split"], [repo], alpha=alpha, draws=draws, stream=stream,
-                    repeat="split", repeats=len(splits))
+                    repeat="split", repeats=len(splits or ()))
     return out.agg(F.avg(as_number(F.col("lo") > 0)).alias("keep_rate"), F.count(F.lit(1)).alias("n_splits"))

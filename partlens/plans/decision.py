@@ -120,7 +120,7 @@ def human_agreement(rows: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def pilot_report(scores: DataFrame, manifests: DataFrame, ranking: DataFrame | None = None,
-                 budget: float | None = None, draws: int = inference.AA_DRAWS, stream: str = "auto") -> DataFrame:
+                 budget: float | None = None, draws: int = inference.AA_DRAWS, stream: str = "hash") -> DataFrame:
     """Rows (check, value, detail, passed); ``passed`` is null for a check that could not run.
 
     The last row is the overall verdict: every run check passed and the human one ran.
@@ -142,21 +142,17 @@ def pilot_report(scores: DataFrame, manifests: DataFrame, ranking: DataFrame | N
         p3 = human_agreement(rows, ranking).select(
             F.lit("P3 human agreement").alias("check"), F.col("rho_gain").alias("value"),
             F.format_string("cochange %s", F.col("rho_cochange")).alias("detail"), "passed")
-    reps = [r[0] for r in scores.select("rep").distinct().limit(inference.MAX_REPLICATES + 1).collect()]
-    splits = inference.aa_splits(reps)
-    if not splits:
-        p4 = blank("P4 A/A", "needs six replicates")
-    else:
-        rate = lambda alpha, limit: inference.aa_test(scores, splits, alpha=alpha, draws=draws, stream=stream).withColumn(
-            "ok", F.col("keep_rate") <= limit + 1e-9)
-        p4 = rate(0.10, 0.10).unionByName(rate(0.05, 0.0)).agg(
-            F.lit("P4 A/A").alias("check"), F.max("keep_rate").alias("value"),
-            F.format_string("%d splits", F.max("n_splits")).alias("detail"), F.bool_and("ok").alias("passed"))
+    rate = lambda alpha, limit: inference.aa_test(scores, alpha=alpha, draws=draws, stream=stream).withColumn(
+        "ok", F.col("keep_rate") <= limit + 1e-9)
+    p4 = rate(0.10, 0.10).unionByName(rate(0.05, 0.0)).agg(
+        F.lit("P4 A/A").alias("check"), F.max("keep_rate").alias("value"),
+        F.coalesce(F.when(F.max("n_splits") > 0, F.format_string("%d splits", F.max("n_splits"))), F.lit("needs six replicates")).alias("detail"),
+        F.bool_and("ok").alias("passed"))
     need = power.within_sd(scores).select("sd_within", power.replicates_needed("sd_within").alias("need"))
     p5 = need.select(F.lit("P5 replicates").alias("check"), F.col("need").cast("double").alias("value"),
                      F.format_string("sd %.4f", "sd_within").alias("detail"), (F.col("need") <= 5).alias("passed"))
     cost = scores.agg(F.avg(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"))
-    reps_used = F.lit((need.first() or {"need": None})["need"] or 3)
+    reps_used = F.coalesce(need.select("need").scalar(), F.lit(3))
     projected = F.col("cost") * CAMPAIGN_REPOS * reps_used * CAMPAIGN_RERUNS
     p8 = cost.select(F.lit("P8 cost").alias("check"), projected.alias("value"),
                      F.format_string("%.2f per run", "cost").alias("detail"),

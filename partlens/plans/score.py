@@ -47,7 +47,7 @@ def score_runs(manifests: DataFrame, results: DataFrame, files: DataFrame, code:
     ``files`` lists (repo, sha, path); ``commits`` (repo, sha, commit, path, age);
     ``gold`` (repo, path, unit). A run without a manifest or result still gets a row.
     """
-    manifests = materialize(manifests.select(*RK, *schemas.MANIFEST.keys() - {"repo"}))
+    manifests = materialize(manifests.select(*RK, *[k for k in schemas.MANIFEST if k != "repo"]))
     m = _manifest_tables(manifests)
     runs = manifests.select(*RK, F.coalesce(F.size("unpartitioned"), F.lit(0)).alias("unpartitioned"))
     out, per_unit = score_tables(runs, m, results, files, code, lint, commits, gold)

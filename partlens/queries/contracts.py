@@ -9,9 +9,6 @@ from ..operators import contracts as C
 from ..operators.keyed import last_wins as keep_last
 from .registry import Tables, query
 
-# The whole domain of o_orderpriority, which names the graph below.
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
 # ---- coverage: a repository is a top-level domain, a file is a url path -----------------
 
 _PATHS = r"""
@@ -162,7 +159,9 @@ def _entrypoint_inputs(t: Tables) -> dict[str, DataFrame]:
     nation = lambda c: F.concat(F.lit("n"), F.col(c))
     files = t.supplier.select(supplier("s_suppkey").alias("path"), nation("s_nationkey").alias("unit")).unionByName(
         t.customer.where("c_acctbal >= 0").select(customer("c_custkey").alias("path"), nation("c_nationkey").alias("unit")))
-    unit_files = files.withColumn("g", F.explode(F.array(*[F.lit(p) for p in PRIORITIES])))
+    # a priority names a graph; the list of them is one value of the orders
+    graphs = t.orders.agg(F.array_sort(F.collect_set("o_orderpriority")).alias("g"))
+    unit_files = files.withColumn("g", F.explode(graphs.scalar()))
     return {
         "unit_files": unit_files,
         "refs": lines.select("g", customer("o_custkey").alias("src"), supplier("l_suppkey").alias("dst"),

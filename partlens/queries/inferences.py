@@ -149,8 +149,7 @@ def aa_test(t: Tables) -> DataFrame:
     """Line numbers as replicates of one version: three against the rest."""
     runs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("repo"), F.col("l_linenumber").alias("rep"), F.col("l_discount").alias("q_gain_dir"))
-    reps = [str(r[0]) for r in runs.select("rep").distinct().limit(I.MAX_REPLICATES + 1).collect()]
-    return I.aa_test(runs, I.aa_splits(reps), draws=DRAWS, stream="hash")
+    return I.aa_test(runs, draws=DRAWS)
 
 
 _SPREAD = """
@@ -167,7 +166,7 @@ def _spread(t: Tables) -> DataFrame:
         F.col("p_brand").alias("repo"), "l_returnflag", F.col("l_discount").alias("q_gain_dir"))
     before, after = runs.where("l_returnflag = 'A'"), runs.where("l_returnflag = 'R'")
     sd = P.within_sd(before)
-    tau = P.effect_tau(before, after, F.lit(sd.first()["sd_within"]))
+    tau = P.effect_tau(before, after, sd.select("sd_within").scalar())
     both = sd.unionByName(tau, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 

@@ -57,8 +57,8 @@ def language(path) -> Column:
 
 def extractable(files: DataFrame) -> DataFrame:
     """Files facts are extracted from, with their language; very large files are left out."""
-    return files.withColumn("lang", language("path")).where(
-        F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_SOURCE_BYTES))
+    size = F.col("length") if "length" in files.columns else F.octet_length("text")
+    return files.withColumn("lang", language("path")).where(F.col("lang").isNotNull() & (size <= MAX_SOURCE_BYTES))
 
 
 def _plain(root: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -79,8 +79,20 @@ def read_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests; unreadable text counts as an empty manifest."""
-    return read_json(spark, root, "manifest.json", schemas.MANIFEST)
+    """Manifests; unreadable text counts as an empty manifest.
+
+    The lists are read entry by entry: one that does not have the shape of its list is
+    left out, the others stay.
+    """
+    lists = {k: v for k, v in schemas.MANIFEST.items() if v.startswith("array<")}
+    loose = {**schemas.MANIFEST, **dict.fromkeys(lists, "array<variant>")}
+    read = read_json(spark, root, "manifest.json", loose)
+
+    def entries(name: str, kind: str) -> Column:
+        cast = F.transform(name, lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", kind)))
+        return F.filter(cast, lambda x: x.isNotNull())
+
+    return read.withColumns({k: entries(k, v[len("array<"):-1]) for k, v in lists.items()})
 
 
 def partitions(manifests: DataFrame) -> DataFrame:

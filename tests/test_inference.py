@@ -25,18 +25,24 @@ def brute_interval(deltas, alpha, draws):
 def test_seeded_bootstrap_is_the_python_stream(spark):
     data = [("c", r, b - a) for r, (a, b) in GAINS.items()]
     got = I.bootstrap(spark.createDataFrame(data, "comparison string, repo string, delta double"), ["comparison"], ["repo"],
-                      draws=500).first()
+                      draws=500, stream="seeded").first()
     lo, hi = brute_interval([b - a for _, (a, b) in sorted(GAINS.items())], 0.10, 500)
     assert (got.n, got.lo, got.hi) == (5, pytest.approx(lo), pytest.approx(hi))
 
 
-def test_auto_stream_uses_hash_beyond_the_limit(spark, monkeypatch):
-    data = [("a", f"r{i}", float(i)) for i in range(3)] + [("b", f"r{i}", float(i)) for i in range(8)]
+def test_interval_of_a_key_does_not_depend_on_others_or_size(spark):
+    few = [("a", f"r{i}", float(i)) for i in range(3)]
+    more = few + [("b", f"r{i}", float(i)) for i in range(800)]
+    run = lambda data: {r.comparison: (r.lo, r.hi) for r in I.bootstrap(
+        spark.createDataFrame(data, "comparison string, repo string, delta double"), ["comparison"], ["repo"], draws=200).collect()}
+    assert run(few)["a"] == run(more)["a"]
+
+
+def test_bootstrap_without_keys(spark):
+    data = [("c", f"r{i}", float(i)) for i in range(5)]
     df = spark.createDataFrame(data, "comparison string, repo string, delta double")
-    run = lambda stream: {r.comparison: (r.lo, r.hi) for r in I.bootstrap(df, ["comparison"], ["repo"], draws=200, stream=stream).collect()}
-    monkeypatch.setattr(I, "SEEDED_STREAM_LIMIT", 4 * 200)
-    mixed, seeded, hashed = run("auto"), run("seeded"), run("hash")
-    assert mixed["a"] == seeded["a"] and mixed["b"] == hashed["b"]
+    keyed, plain = I.bootstrap(df, ["comparison"], ["repo"], draws=100).first(), I.bootstrap(df, [], ["repo"], draws=100).first()
+    assert (plain.n, plain.observed, plain.lo, plain.hi) == (keyed.n, keyed.observed, keyed.lo, keyed.hi)
 
 
 def summary(spark, **changes):
@@ -82,11 +88,18 @@ def test_aa_test_runs_one_stream_across_splits(spark):
         deltas = [side(repo, False) - side(repo, True) for repo in "abcd"]
         means = sorted(mean(stream.choice(deltas) for _ in deltas) for _ in range(100))
         keeps += means[int(0.05 * 100)] > 0
-    got = I.aa_test(spark.createDataFrame(runs, "repo string, rep string, q_gain_dir double"), splits, draws=100).first()
+    got = I.aa_test(spark.createDataFrame(runs, "repo string, rep string, q_gain_dir double"), splits, draws=100, stream="seeded").first()
     assert (got.keep_rate, got.n_splits) == (pytest.approx(keeps / 10), 10)
     assert I.aa_splits(["0", "1", "2"]) == []
 
 
+def test_splits_of_any_number_of_replicates(spark):
+    for n in (5, 6, 9, 70):
+        df = spark.createDataFrame([("r", f"{i:03}", 1.0) for i in range(n)], "repo string, rep string, q_gain_dir double")
+        want = {(i, r) for i, s in enumerate(I.aa_splits([f"{i:03}" for i in range(n)])) for r in s}
+        assert {tuple(r) for r in I.aa_members(df).collect()} == want
+
+
 def test_icc(spark):
     groups = {"a": [1.0, 2.0, 3.0], "b": [2.0, 4.0], "c": [9.0, 7.0, 8.0], "single": [100.0]}
     used = [g for g in groups.values() if len(g) > 1]
@@ -98,6 +111,14 @@ def test_icc(spark):
     assert got.icc == pytest.approx((msb - msw) / (msb + (n - 1) * msw)) and got.var_ratio == pytest.approx(msb / msw)
     flat = I.icc1(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0)], "repo string, value double"), "repo").first()
     assert flat.icc is None and flat.var_ratio == float("inf")
+    for value in (0.1, 0.3):
+        same = [(f"g{i}", value) for i in range(7) for _ in range(3)]
+        assert I.icc1(spark.createDataFrame(same, "repo string, value double"), "repo").first().icc is None
+    shifted = [(k, v + 1e8) for k, v in data]
+    assert I.icc1(spark.createDataFrame(shifted, "repo string, value double"), "repo").first().icc == pytest.approx(got.icc, rel=1e-6)
+    keyed = [(key, k, v) for key in "xy" for k, v in data]
+    both = I.icc1(spark.createDataFrame(keyed, "key string, repo string, value double"), "repo", keys=["key"]).collect()
+    assert [r.icc for r in both] == [pytest.approx(got.icc)] * 2
 
 
 def test_spearman_breaks_ties_by_position(spark):
