@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,14 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder and read again.
+
+    For iterations: a checkpoint keeps the plan it came from for its statistics, and such
+    plans nest with every round; a table that was read has none.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

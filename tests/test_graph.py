@@ -112,6 +112,19 @@ def test_louvain_both_ways_agree_and_find_blocks(spark, clustered):
     assert q["y"] == pytest.approx(0.0)  # a complete graph has no better partition than one unit
 
 
+def test_both_ways_agree_next_to_other_graphs(spark):
+    rng, edges = random.Random(4), []
+    for g in range(4):
+        nodes = [f"n{i:02}" for i in range(rng.randint(4, 24))]
+        edges += [(f"g{g}", a, b, float(rng.randint(1, 3))) for a, b in combinations(nodes, 2) if rng.random() < 0.15]
+    edges += [("chain", f"c{i:03}", f"c{i + 1:03}", 1.0) for i in range(12)]
+    df = spark.createDataFrame(edges, "g string, a string, b string, weight double")
+    alone = rows(community.louvain(df, K))
+    assert alone == rows(community.louvain(df, K, small=0))
+    assert rows(community.louvain(df.where("g = 'g3'"), K)) == [r for r in alone if r[0] == "g3"]
+    assert rows(community.label_propagation(df, K)) == rows(community.label_propagation(df, K, small=0))
+
+
 def test_label_propagation_both_ways_agree(clustered):
     assert rows(community.label_propagation(clustered, K)) == rows(community.label_propagation(clustered, K, small=0))
 
