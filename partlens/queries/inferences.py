@@ -108,6 +108,13 @@ def cluster_bootstrap(t: Tables) -> DataFrame:
                       "excludes_zero", "verdict")
 
 
+@query("icc1_flat", """
+SELECT p_type, count(*) AS n_groups, NULL::DOUBLE AS icc FROM (SELECT p_type, p_brand FROM part GROUP BY ALL HAVING count(*) >= 2) GROUP BY p_type""")
+def icc1_flat(t: Tables) -> DataFrame:
+    """Equal values that no double holds exactly: there is nothing to tell groups apart by."""
+    return I.icc1(t.part.withColumn("v", F.lit(0.1)), "p_brand", "v", ["p_type"]).select("p_type", "n_groups", "icc")
+
+
 @query("icc1", """
 WITH g AS (SELECT p_type, p_brand, count(*)::DOUBLE AS n, avg(p_retailprice) AS m, var_pop(p_retailprice) AS v FROM part GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT p_type, count(*) AS k, avg(n) AS size, sum(n) AS t, sum(n*m)/sum(n) AS grand, sum(n*v) AS sw FROM g GROUP BY 1),

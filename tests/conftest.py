@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,11 +11,12 @@ from partlens.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("partlens-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                          spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="partlens-tests-") as folder:
+        session = get_session("partlens-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+                              spark__ui__showConsoleProgress="false", spark__driver__memory="8g", spark__checkpoint__dir=folder)
+        session.sparkContext.setLogLevel("ERROR")
+        yield session
+        session.stop()
 
 
 def rows(df, *columns):
