@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is the sequence of its words: runs of the blank mark with what follows them, and where
-no piece of the table mixes letters and other characters, runs of either. No piece goes over the
-end of a word. The lattice of a word is made by exploding its substrings of at most the longest
+A text is the sequence of its words: runs of the blank mark with what follows them, split between
+Latin letters and ASCII marks where no piece of the table has both. No piece goes over the end of a word. The lattice of a word is made by exploding its substrings of at most the longest
 piece and joining them by equality to the piece table (bounded: one row per piece); the edges are
 grouped by word and folded with the higher-order ``aggregate``:
 
@@ -14,8 +13,9 @@ grouped by word and folded with the higher-order ``aggregate``:
   piece from the left, again and again, so they come last, leftmost and longest first.
 
 Characters without a piece become their bytes' pieces. Frequent words, at most ``DICTIONARY``,
-are encoded once and their ids go to all tasks; all other words are rows that are encoded and
-joined back by word and text. Words longer than ``FOLDED`` characters are joined from the same sorted edges
+are encoded once and their ids go to all tasks. Texts are shuffled once, by row; all other words
+are exploded, encoded by the same lattice and gathered per text in the partitions that shuffle made,
+and the text is put together from both. Words longer than ``FOLDED`` characters are joined from the same sorted edges
 in place, as arrays would be copied for every join.
 
 Defined cases: null and empty texts have no ids; rows with equal texts are encoded alike; extra
@@ -32,15 +32,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import let, slices
 from .tables import written
 
 BLANK = "▁"
-DICTIONARY = 500_000
+DICTIONARY = 300_000
 FOLDED = 128
 
 
@@ -64,36 +67,45 @@ class Table:
             shared = Counter(s for _, _, s in pieces)
             if any(shared[s] > 1 and p.strip(BLANK) for p, _, s in pieces):
                 raise ValueError("a BPE table in which other pieces than blanks share a score")
-        mixed = any(a.isalpha() != b.isalpha() for p, _, _ in pieces for a, b in zip(p.lstrip(BLANK), p.lstrip(BLANK)[1:]))
+        letter, mark = re.compile(f"[{_LETTERS}]").match, re.compile(f"[{_MARKS}]").match
+        mixed = any((letter(a) and mark(b)) or (mark(a) and letter(b)) for p, _, _ in pieces for a, b in zip(p, p[1:]))
         return Table(kind, pieces, model.piece_to_id("<0x00>"), not mixed)
 
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @property
+    def ends(self) -> str:
+        """Where words end, as a regular expression that Python and Java read alike."""
+        return _ENDS if self.split_letters else f"(?<=[^{BLANK}])(?={BLANK})"
+
     def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return (_SPLIT if self.split_letters else _UNSPLIT)(BLANK + text.replace(" ", BLANK))
+        return re.split(self.ends, BLANK + text.replace(" ", BLANK)) if text else []
 
 
-_SPLIT = re.compile(rf"{BLANK}*[^\W\d_]+|{BLANK}*(?:(?![^\W\d_])[^{BLANK}])+|{BLANK}+").findall
-_UNSPLIT = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_MARKS = "\u0001-\u001F!-@\\[-`{-~"
+_ENDS = f"(?<=[{_LETTERS}])(?=[{_MARKS}])|(?<=[{_MARKS}])(?=[{_LETTERS}])|(?<=[^{BLANK}])(?={BLANK})"
 
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
-    """word, edges: every piece in it from s to e, best first. ``words`` is partitioned by word and stays so."""
+    """``words`` (word and columns that tell rows apart) with edges: every piece in it from s to e, best first.
+
+    Nothing is shuffled if ``words`` is partitioned by some of its columns.
+    """
+    keys = words.columns
     spark = words.sparkSession
     pieces = spark.createDataFrame([(p, i, -s) for p, i, s in table.pieces], "piece string, id int, cost double")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    starts = words.select(*keys, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     ends = F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, F.length("word")))
-    spans = starts.select("word", "s", F.explode(ends).alias("e"))
+    spans = starts.select(*keys, "s", F.explode(ends).alias("e"))
     spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
     edges = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
     size = F.col("e") - F.col("s")
     joins = F.when(F.ltrim(F.translate("piece", BLANK, " ")) == "", size).otherwise(F.least(size, F.lit(2)))
     edge = F.when(F.col("id").isNotNull(), F.struct("cost", "s", (-F.col("e")).alias("order"), "e", "id", joins.alias("joins")))
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _merge_fold(word: Column, edges: Column) -> Column:
@@ -125,34 +137,33 @@ def _viterbi_fold(word: Column, edges: Column, unknown: float) -> Column:
     return F.reverse(path)
 
 
-def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _in_place(sizes: pd.Series, edges: pd.Series) -> pd.Series:
     """The same merges for long words, which mark ends in place instead of copying them."""
-    for batch in batches:
-        cuts = []
-        for size, edges in zip(batch.column("size").to_pylist(), batch.column("edges").to_pylist()):
-            there = np.ones(size + 1, dtype=bool)
-            for x in edges:
-                s, e = x["s"], x["e"]
-                if e - s > 1 and there[s] and there[e] and there[s + 1:e].sum() == x["joins"] - 1:
-                    there[s + 1:e] = False
-            cuts.append(np.flatnonzero(there).astype(np.int32).tolist())
-        yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "edges": batch.column("edges"), "cuts": pa.array(cuts, pa.list_(pa.int32()))}, schema=_LONG)
+    cuts = []
+    for size, found in zip(sizes, edges):
+        there = np.ones(size + 1, dtype=bool)
+        for x in found:
+            s, e = x["s"], x["e"]
+            if e - s > 1 and there[s] and there[e] and there[s + 1:e].sum() == x["joins"] - 1:
+                there[s + 1:e] = False
+        cuts.append(np.flatnonzero(there).tolist())
+    return pd.Series(cuts)
 
 
 _EDGE = "array<struct<cost:double,s:int,order:int,e:int,id:int,joins:int>>"
-_LONG = pa.schema([("word", pa.string()), ("edges", pa.list_(pa.struct([("cost", pa.float64()), ("s", pa.int32()), ("order", pa.int32()), ("e", pa.int32()), ("id", pa.int32()), ("joins", pa.int32())]))), ("cuts", pa.list_(pa.int32()))])
 
 
-def encode_words(words: DataFrame, table: Table) -> DataFrame:
-    """word, ids for distinct words, which should be partitioned by word."""
+def encode_words(words: DataFrame, table: Table, long: bool = False) -> DataFrame:
+    """``words`` (different rows with a column word) with the ids of each: of those with up to FOLDED characters, or of the longer ones."""
+    words = words.where(F.length("word") > FOLDED if long else F.length("word") <= FOLDED)
     edges = lattice(words, table).withColumn("edges", F.col("edges").cast(_EDGE))
     if table.kind == "unigram":
-        worst = max(-s for _, _, s in table.pieces) + 10.0
-        cut = edges.withColumn("cuts", _viterbi_fold(F.col("word"), F.col("edges"), worst))
+        cuts = _viterbi_fold(F.col("word"), F.col("edges"), max(-s for _, _, s in table.pieces) + 10.0)
+    elif long:
+        cuts = _in_place(F.length("word"), F.col("edges"))
     else:
-        short = edges.where(F.length("word") <= FOLDED).withColumn("cuts", _merge_fold(F.col("word"), F.col("edges")))
-        long = edges.where(F.length("word") > FOLDED).select("word", "edges", F.length("word").alias("size"))
-        cut = short.unionByName(long.mapInArrow(_in_place, f"word string, edges {_EDGE}, cuts array<int>"))
+        cuts = _merge_fold(F.col("word"), F.col("edges"))
 
     def ids_of(word: Column, found: Column, s: Column, e: Column) -> Column:
         own = F.filter(found, lambda x: (x["s"] == s) & (x["e"] == e))
@@ -162,21 +173,43 @@ def encode_words(words: DataFrame, table: Table) -> DataFrame:
 
     ids = let(F.col("cuts"), lambda c: F.flatten(F.transform(
         F.sequence(F.lit(0), F.size(c) - 2), lambda i: ids_of(F.col("word"), F.col("edges"), F.get(c, i), F.get(c, i + 1)))))
-    return cut.select("word", ids.alias("ids"))
+    return edges.withColumn("cuts", cuts).select(*words.columns, ids.alias("ids"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    return slices(batches, "body", limit)
+
+
+def _blank_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Different words between single blanks, the word at each place, where texts begin, and which texts must be read otherwise."""
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begin, odd
 
 
 def _count(table: Table):
+    """Words a task meets at least twice, with how often: all that could be frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            often = {w: n for w, n in counts.items() if n > 1}
             counts.clear()
-            return out
-
-        for batch in slices(batches, "body"):
-            for text in batch.column("body").to_pylist():
-                counts.update(table.words(text))
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
+
+        for batch in _slices(batches):
+            words, places, begin, odd = _blank_words(batch.column("body"))
+            plain = ~np.repeat(odd, np.diff(begin))
+            for word, n in zip(words, np.bincount(places[plain], minlength=len(words)).tolist()):
+                if n:
+                    for part in table.words(word):
+                        counts[part] += n
+            for row in np.flatnonzero(odd).tolist():
+                counts.update(table.words(batch.column("body")[row].as_py()))
             if len(counts) > 500_000:
                 yield flush()
         yield flush()
@@ -208,47 +241,54 @@ def _dictionary(key: str, packed) -> dict[str, bytes]:
 
 def _packed(ids: Column) -> Column:
     """Little-endian 16-bit ids as one binary."""
-    both = F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256)), 2, "0")))
-    return F.unhex(F.array_join(both, ""))
+    digits = F.transform(ids, lambda i: let(F.lpad(F.hex(i.cast("long")), 4, "0"), lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))))
+    return F.unhex(F.array_join(digits, ""))
 
 
 def encode(documents: DataFrame, table: Table) -> DataFrame:
-    """The documents' doc_id and text with ids, binary of little-endian 16-bit numbers."""
-    spark: SparkSession = documents.sparkSession
+    """doc_id, text (null is empty) and ids, binary of little-endian 16-bit numbers, of every document."""
     body = F.coalesce("text", F.lit(""))
-    texts = documents.select("doc_id", "text", F.xxhash64(body).alias("tid"), body.alias("body"))
-    counts = written(texts.select("body").mapInArrow(_count(table), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # id and text are one column, so that both readers of the shuffled rows read the same shuffle
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\u0000"), body)
+    texts = documents.select(F.xxhash64("doc_id", body).alias("key"), row.alias("row"))
+    counts = written(documents.select(body.alias("body")).mapInArrow(_count(table), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     frequent = _frequent(counts, DICTIONARY).select("word").repartition("word")
-    encoded = encode_words(frequent, table).select("word", _packed(F.col("ids")).alias("packed")).toArrow()
-    shared, key = spark.sparkContext.broadcast(encoded), uuid.uuid4().hex
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, told = _dictionary(key, shared), set()
-        for batch in slices(batches, "body"):
-            rows = []
-            for tid, text in zip(batch.column("tid").to_pylist(), batch.column("body").to_pylist()):
-                if tid not in told:
-                    told.add(tid)
-                    rows += [(tid, i, w) for i, w in enumerate(table.words(text)) if w not in known]
-            kinds = (pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["tid", "pos", "word"])
+    both = encode_words(frequent, table).union(encode_words(frequent, table, True))
+    known_words = written(both.select("word", _packed(F.col("ids")).alias("packed")))
+    shared, key = documents.sparkSession.sparkContext.broadcast(known_words.toArrow()), uuid.uuid4().hex
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _dictionary(key, shared)
-        for batch in slices(batches, "body"):
-            out = []
-            for text, extra in zip(batch.column("body").to_pylist(), batch.column("extra").to_pylist()):
-                parts = [known.get(w) for w in table.words(text)]
-                for x in extra or ():
-                    parts[x["pos"]] = x["packed"]
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "ids": pa.array(out, pa.binary())})
-
-    places = texts.select("tid", "body").mapInArrow(rare, "tid long, pos int, word string").repartition("word")
-    ids = encode_words(places.select("word").distinct(), table).select("word", _packed(F.col("ids")).alias("packed"))
-    extra = places.join(ids, "word").groupBy("tid").agg(F.array_distinct(F.collect_list(F.struct("pos", "packed"))).alias("extra"))
-    both = texts.join(extra, "tid", "left").select("doc_id", "text", "body", "extra")
-    return both.mapInArrow(joined, documents.select("doc_id", "text").schema.add("ids", "binary"))
+        for batch in _slices(batches):
+            extra = {x["word"]: x["packed"] for name in ("short", "long") for found in batch.column(name).to_pylist() for x in found or ()}
+
+            def ids_of(text: str) -> bytes:
+                return b"".join([known[w] if w in known else extra[w] for w in table.words(text)])
+
+            words, places, begin, odd = _blank_words(batch.column("body"))
+            used = np.bincount(places[~np.repeat(odd, np.diff(begin))], minlength=len(words)) > 0
+            found = [ids_of(w) if u else b"" for w, u in zip(words, used.tolist())]
+            size = np.fromiter((len(x) // 2 for x in found), dtype=np.int64, count=len(found))
+            flat, length = np.frombuffer(b"".join(found), dtype="<u2"), size[places]
+            ends = np.cumsum(length)
+            flat = flat[np.repeat((np.cumsum(size) - size)[places] - (ends - length), length) + np.arange(length.sum())]
+            ends = np.concatenate([[0], ends])[begin].tolist()
+            out = [ids_of(batch.column("body")[i].as_py()) if o else flat[ends[i]:ends[i + 1]].tobytes() for i, o in enumerate(odd.tolist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": batch.column("body"), "ids": pa.array(out, pa.binary())})
+
+    dealt = texts.repartition("key")
+    cut = F.locate("\u0000", F.col("row"))
+    text = F.substring("row", cut + 1, F.length("row"))
+    blanked = F.concat(F.lit(BLANK), F.translate(text, " ", BLANK))
+    words = dealt.select("key", F.explode(F.split(blanked, table.ends)).alias("word"))
+    rare = words.join(F.broadcast(known_words.select("word")), "word", "left_anti").select("key", "word").distinct()
+    both = dealt
+    for name in ("short", "long"):
+        ids = encode_words(rare, table, name == "long").select("key", F.struct("word", _packed(F.col("ids")).alias("packed")).alias("x"))
+        both = both.join(ids.groupBy("key").agg(F.collect_list("x").alias(name)), "key", "left")
+    doc_id = F.when(cut > 1, F.substring("row", F.lit(1), cut - 1)).cast("long")
+    both = both.select(doc_id.alias("doc_id"), text.alias("body"), "short", "long")
+    return both.mapInArrow(joined, "doc_id long, text string, ids binary")
 
 
 def decoded(table: Table):
