@@ -15,7 +15,7 @@
    compared once on whole sets.
 
 So no link between different components is lost, and no group is expanded into all its pairs.
-Shingles and sets are told apart by 64-bit hashes.
+Shingles and sets are told apart by 64-bit hashes. Joins to texts are merges at any size.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; null doc_ids are the largest; rows equal in doc_id and
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytework import distinct, mix, shingles
-from .common import join_counted, slices
-from .tables import components, written
+from .common import slices
+from .tables import components, drop, written
 
 SKETCH_BITS = 20
 _PARTS = 64
@@ -132,7 +132,7 @@ def _prefixes(size: int, part: int, ranks: np.ndarray):
 
 def _star(near: DataFrame, part: int) -> DataFrame:
     """Each set with the pivot that it shares most prefix shingles with."""
-    pivots = near.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p"))
+    pivots = written(near.groupBy("token").agg(F.min(F.struct("pos", "n", "sid")).alias("p")))
     met = near.join(pivots, "token").where("sid <> p.sid").select("sid", "n", F.col("p.sid").alias("b"), F.col("p.n").alias("m"))
     met = met.where((100 * F.least("n", "m") >= part * F.greatest("n", "m")))
     counted = met.groupBy("sid", "b").agg(F.count("*").alias("k"))
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, pa
 
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     chosen = written(wanted.join(sets, "sid").select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), "sid"))
-    bodies = join_counted(texts, chosen, (texts["text_hash"] == chosen["__hash"]) & texts["doc_id"].eqNullSafe(chosen["__id"]))
+    bodies = texts.join(chosen.hint("merge"), (texts["text_hash"] == chosen["__hash"]) & texts["doc_id"].eqNullSafe(chosen["__id"]))
     bodies = written(bodies.select("sid", "body").dropDuplicates(["sid"]))
     both = (
         pairs.join(bodies.select(F.col("sid").alias("a"), F.col("body").alias("x")), "a")
@@ -252,15 +252,20 @@ def classes(documents: DataFrame, size: int, part: int) -> DataFrame:
     sets = written(meta.where("n > 0").groupBy("sid").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("ranges").alias("ranges")))
     prefixes = written(texts.select("body").mapInArrow(_prefixes(size, part, _ranks(measured)), _PREFIX))
     counts = prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
-    near = written(prefixes.join(counts.select("token", "df"), "token"))
+    counted = written(counts.select("token", "df"))
+    near = written(prefixes.join(counted, "token"))
+    drop(prefixes, counted)
     links = written(_verified(written(_star(near, part)), sets, texts, size, part))
     found = components(links).withColumnRenamed("node", "sid")
     labelled = near.join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_tokens = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    open_tokens = written(open_tokens)
     dealt = _blocks(labelled.join(open_tokens, "token", "left_semi")).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")
     pairs = written(_suffix_filter(dealt.mapInArrow(_pairs(part), "a long, b long").distinct(), sets, part))
-    more = _verified(pairs, sets, texts, size, part)
+    more = written(_verified(pairs, sets, texts, size, part))
+    drop(near, open_tokens, pairs)
     final = components(links.union(more)).withColumnRenamed("node", "sid")
+    drop(links, more)
     rooted = sets.select("sid", "first").join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     of_set = rooted.select("sid", "root").join(least, "root").select("sid", "first")
@@ -281,4 +286,4 @@ def one_of_each(documents: DataFrame, size: int = 5, part: int = 80) -> DataFram
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
     on = (keyed["__text_hash"] == gone["__hash"]) & keyed["doc_id"].eqNullSafe(gone["__id"])
-    return join_counted(keyed, gone, on, "left_anti").select(*documents.columns)
+    return keyed.join(gone.hint("merge"), on, "left_anti").select(*documents.columns)

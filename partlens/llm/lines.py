@@ -6,7 +6,8 @@ the same line at the same place. Selected lines that occur once in the corpus en
 at the others the match is extended to both sides, to every run of ``MIN_LINES`` lines around
 it that selected it. Equal runs are one group, of which only the earliest place
 (smallest doc_id, then place in the text) is joined back, so no pairs are made; all later ones
-are deleted, and overlapping ones grow into the maximal repeated run.
+are deleted, and overlapping ones grow into the maximal repeated run. Both tables that are looked
+up have one row a key and are written, so AQE can split a line that a third of all texts hold.
 
 Runs are told apart by 128 bits of two hashes. Defined cases: a null text has no lines and
 stays null; runs of blank lines only are left; rows equal in doc_id and text are one document
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, let
+from .tables import written
 
 MIN_LINES = 2
 
@@ -45,10 +47,10 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_runs(F.col("text"))).alias("r"))
         .select("doc_id", "text_hash", "r.s", "r.chosen", "r.a", "r.b")
     )
-    shared = runs.groupBy("chosen").agg(F.count("*").alias("n")).where("n > 1").select("chosen")
+    shared = written(runs.groupBy("chosen").agg(F.count("*").alias("n")).where("n > 1").select("chosen"))
     candidates = runs.join(shared, "chosen", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "s")
-    first = candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = candidates.join(first, ["a", "b"]).where(place != F.col("first"))
     covered = F.explode(F.sequence("s", F.col("s") + MIN_LINES - 1))
     return (
@@ -61,7 +63,7 @@ def _marked(documents: DataFrame) -> DataFrame:
     found = repeated_lines(documents).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("places").alias("__places"))
     keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
     on = (keyed["__text_hash"] == found["__hash"]) & keyed["doc_id"].eqNullSafe(found["__id"])
-    return keyed.join(found, on, "left").drop("__text_hash", "__id", "__hash")
+    return keyed.join(found.hint("merge"), on, "left").drop("__text_hash", "__id", "__hash")
 
 
 def _kept_text(text: Column, places: Column) -> Column:

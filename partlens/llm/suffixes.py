@@ -15,6 +15,10 @@ corpus would move each byte hundreds of times, so suffixes are sorted where they
 4. Grams with more than ``GROUP`` different contexts are not gathered: each of their strings is
    hashed (128 bits) and counted by Spark, which gives the same answer.
 
+What is looked up by a key that many rows share is written first: joins of two plain tables
+are split by AQE where a key is hot. Joins to texts are merges at any size, so that what a run needs
+follows its input.
+
 All strings led by a gram contain it, so what is removed around it is one interval; the
 intervals of a text are merged. Grams and texts are told apart by 64-bit hashes.
 
@@ -35,15 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytework import buffer_of, prefix_hashes, stretch_hashes
-from .common import join_counted, slices
-from .tables import written
+from .common import slices
+from .tables import drop, written
 
 SPAN = 400
 GRAM = 100
 SHALLOW = 32
 GROUP = 20_000
-#: Rows with lists of places or stretches that may be broadcast.
-LISTED = 2_000
 _STEP = 8
 
 
@@ -290,16 +292,18 @@ def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
     texts = documents.select(F.col("__tid").alias("tid"), F.col("__body").alias("body"), F.col("doc_id").cast("long").alias("doc_id")).where(F.length("body") >= SPAN)
     grams = written(texts.select("tid", "body").mapInArrow(_grams, "gram long, tid long, pos long"))
     place = F.struct("tid", "pos")
-    shared = grams.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram")
+    shared = written(grams.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram"))
     places = grams.join(shared, "gram", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("places"))
     counted = texts.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max(F.length("body")).alias("size"))
     chosen = written(places.join(counted, "tid").select(F.col("tid").alias("__t"), "places", "owner"))
-    bodies = join_counted(texts, chosen, (texts["tid"] == chosen["__t"]) & texts["doc_id"].eqNullSafe(chosen["owner"]), rows=LISTED)
+    bodies = texts.join(chosen.hint("merge"), (texts["tid"] == chosen["__t"]) & texts["doc_id"].eqNullSafe(chosen["owner"]))
+    drop(shared)
     contexts = written(bodies.select("tid", "body", "places").mapInArrow(_contexts, _CONTEXT))
+    drop(grams, chosen)
     key = ["gram", "ahead", "h1", "h2"]
     kinds = contexts.groupBy(*key).agg((F.min(place) != F.max(place)).alias("multi"), F.length(F.first("context")).alias("size"))
-    sizes = kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
-    several = written(contexts.select(*key, "context").join(sizes, "gram").dropDuplicates(key))
+    sizes = written(kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
+    several = written(contexts.select(*key, "context").dropDuplicates(key).join(sizes, "gram"))
     dealt = several.where(F.col("n_kinds") <= group).repartition("gram").sortWithinPartitions("gram")
     reach = dealt.select(*key, "context").mapInArrow(_compare, _REACH)
     strings = several.where(F.col("n_kinds") > group).select(*key, "context").mapInArrow(
@@ -308,7 +312,8 @@ def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
     twice = strings.groupBy("gram", "offset", "string").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("gram", "offset", "string")
     reach = reach.union(strings.join(twice, ["gram", "offset", "string"], "left_semi").groupBy(*key).agg(F.min("offset").alias("low"), F.max("offset").alias("high")).select(*key, "low", "high"))
     whole = kinds.where("multi").select(*key, (F.lit(SPAN) - F.col("size") + F.col("ahead")).cast("int").alias("low"), F.col("ahead").alias("high"))
-    reach = whole.union(reach).groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    reach = written(whole.union(reach).groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    drop(several, sizes)
     found = contexts.select(*key, "tid", "pos").join(reach, key).select(
         "tid", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + SPAN).alias("end")).alias("span"))
     full = counted.where("n > 1").select("tid", F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end")).alias("span"))
@@ -335,7 +340,7 @@ def _rest(body: bytes, cut: list[tuple[int, int]]) -> bytes:
 def _marked(documents: DataFrame, group: int) -> DataFrame:
     texts = _texts(documents)
     found = written(spans(texts, group)).select(F.col("tid").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
-    return join_counted(texts, found, texts["__tid"] == found["__t"], "left", LISTED).drop("__t")
+    return texts.join(found.hint("merge"), texts["__tid"] == found["__t"], "left").drop("__t")
 
 
 def digest(documents: DataFrame, group: int = GROUP) -> DataFrame:
