@@ -9,11 +9,13 @@ dictionary follow an escape letter by letter, each with its probability after th
 Each modelled bit is predicted in three contexts: its place in the code alone, with the token
 before, and with the two tokens before. Contexts are hashed into tables of ``SLOTS`` counts of zeros
 and ones, gathered over all training texts; a context that was seen little leans on the shorter
-one. The predictions' logits are mixed by weights that are
-chosen by a gate (the place in the code and how much the longest context has been seen) and
-learned online, bit by bit, as a stretch of ``STRETCH`` tokens is read; the mix is refined by an adaptive
-map of probabilities (learned in the same way) and gives the bits. A stretch starts from the same
-weights, so a score depends on its text and the training counts only, whatever else is scored.
+one. The predictions' logits are mixed by weights that are chosen by a gate (the place in the code and
+how much the longest context has been seen) and learned online, bit by bit, as a text is read; the mix
+is refined by an adaptive map of probabilities for each place in the code (learned in the same way) and
+gives the bits. Weights and map are first learned over the training texts, where a bit is predicted without
+its own count: in every partition from slice to slice, then averaged by use over all partitions. Every
+text starts from these and learns on from its first to its last token, so a score depends on its text and
+the training texts only, whatever else is scored. The average depends on how the training texts lie in partitions.
 
 Tables and dictionary have fixed sizes. The base score needs counts of all tokens: those outside
 the dictionary are rows joined to the counts. Tokens and contexts are told apart by 64-bit hashes.
@@ -41,7 +43,8 @@ from .tables import written
 DICTIONARY = 1 << 19
 DETAIL = 3
 SLOTS = 1 << 20
-STRETCH = 128
+WINDOW = 1 << 15
+READ_BYTES = 4 << 20
 RATE = 0.01
 MAP_RATE = 0.02
 
@@ -49,7 +52,8 @@ _ORDERS = 3
 _END = np.uint64(0x0E4D0F7E87)
 _LEVELS = 5  # bits that say how many digits a rank has
 _ESCAPE = 31
-_GATES = (_LEVELS + DETAIL) * 4
+_DEPTH = _LEVELS + DETAIL
+_GATES = _DEPTH * 4
 _BINS = 24
 _PARTS = 64
 _SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
@@ -223,25 +227,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(part: int, counts: np.ndarray) -> bytes:
-    """What scoring needs of a part: logit and seen-class of each slot, or the letters' log probabilities, as bytes."""
+    """What scoring needs of a part: logit, seen-class and count of each slot, or the letters' log probabilities, as bytes."""
     if part == _PARTS:
         table = counts.reshape(_CONTEXTS, _LETTERS) + 0.02
         return np.log2(table / table.sum(axis=1, keepdims=True)).astype(np.float32).tobytes()
     zeros, ones = counts[::2], counts[1::2]
     logit = np.log((ones + 0.2) / (zeros + 0.2)).clip(-11, 11).astype(np.float16)
-    return logit.tobytes() + np.minimum(np.frexp((zeros + ones).astype(np.float64))[1], 12).astype(np.uint8).tobytes()
+    times = zeros + ones
+    return logit.tobytes() + np.minimum(np.frexp(times.astype(np.float64))[1], 12).astype(np.uint8).tobytes() + times.astype(np.float32).tobytes()
 
 
 class Model:
-    """What scoring needs: dictionary, logits and seen-classes by order and slot, log probabilities of letters."""
+    """What scoring needs: dictionary, logits, seen-classes and counts by order and slot, log probabilities of letters."""
 
     def __init__(self, dictionary: Dictionary, parts: dict[int, bytes]):
         self.dictionary = dictionary
         size = _ORDERS * SLOTS // _PARTS
-        blank = np.zeros(size, np.float16).tobytes() + np.zeros(size, np.uint8).tobytes()
+        blank = bytes(7 * size)
         halves = [parts.get(p, blank) for p in range(_PARTS)]
         self.logits = np.concatenate([np.frombuffer(x, np.float16, size) for x in halves]).reshape(_ORDERS, SLOTS)
         self.seen = np.concatenate([np.frombuffer(x, np.uint8, size, 2 * size) for x in halves]).reshape(_ORDERS, SLOTS)
+        self.times = np.concatenate([np.frombuffer(x, np.float32, size, 3 * size) for x in halves]).reshape(_ORDERS, SLOTS)
         letters = np.frombuffer(parts[_PARTS], np.float32) if _PARTS in parts else np.full(_CONTEXTS * _LETTERS, -np.log2(_LETTERS), np.float32)
         self.letters = letters
 
@@ -266,81 +272,161 @@ def _shared(share: _Share):
     return _held[share.key]
 
 
-def bits(model: Model, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray) -> np.ndarray:
+class State:
+    """Weights of the mix by gate and refined probabilities by level and bin."""
+
+    def __init__(self, weights: np.ndarray, refined: np.ndarray):
+        self.weights, self.refined = weights, refined
+
+    @staticmethod
+    def initial() -> State:
+        weights = np.repeat(np.array(_INITIAL, dtype=np.float32)[:, None], _GATES, axis=1)
+        return State(weights, np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, _BINS))), _DEPTH).astype(np.float32))
+
+    @staticmethod
+    def of(cells: dict[int, float]) -> State:
+        """The initial state with the values of ``cells`` instead, counted as in ``flat``."""
+        flat = State.initial().flat()
+        flat[list(cells)] = list(cells.values())
+        return State(flat[:_ORDERS * _GATES].reshape(_ORDERS, _GATES).copy(), flat[_ORDERS * _GATES:].copy())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights.ravel(), self.refined])
+
+
+def bits(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray) -> np.ndarray:
     """Bits of ``n`` texts, from their tokens and the tokens' indices in the dictionary."""
-    rows, hashes, data, starts, ends = tokens
-    nodes, bit, size, free = _bits_of(model.dictionary.rank(at))
-    total = np.bincount(rows, weights=free, minlength=n)
+    rows, _, data, starts, ends = tokens
+    total, *_ = _mixed(model, start, n, tokens, at)
     outside = (at < 0) & (ends > starts)
     if outside.any():
         word, cell = _letters(data, starts[outside], ends[outside])
         total -= np.bincount(rows[outside][word], weights=model.letters[cell], minlength=n)
+    return total + np.bincount(rows, weights=_bits_of(model.dictionary.rank(at))[3], minlength=n)
+
+
+def _without(logit: np.ndarray, times: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Logits of slots that were seen ``times`` times, without the one time that the bit itself was."""
+    ones = (times + np.float32(0.4)) / (1 + np.exp(-logit))
+    zeros = times + np.float32(0.4) - ones
+    return np.log(np.maximum(ones - bit, np.float32(0.2)) / np.maximum(zeros - (1 - bit), np.float32(0.2)))
+
+
+def _inputs(model: Model, contexts: list[np.ndarray], nodes: np.ndarray, bit: np.ndarray, size: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of modelled bits by order, and the seen-class of their longest context; for learning without the bits' own counts."""
     inputs = np.empty((_ORDERS, len(nodes)), dtype=np.float32)
-    for order, context in enumerate(_contexts(rows, hashes)):
+    for order, context in enumerate(contexts):
         slot = _slots(order, np.repeat(context, size), nodes)
         inputs[order] = model.logits[order][slot]
         seen = model.seen[order][slot]
+        if learning:
+            times = model.times[order][slot]
+            inputs[order] = _without(inputs[order], times, bit)
+            seen = np.minimum(np.frexp(np.maximum(times - 1, 0))[1], 12)
         if order:
             inputs[order] = inputs[order - 1] + _SAY[seen] * (inputs[order] - inputs[order - 1])
-    level = np.arange(len(nodes)) - np.repeat(np.cumsum(size) - size, size)
-    gate = level * 4 + np.minimum((seen + 1) // 2, 3)
-    counts = np.bincount(rows, minlength=n)
-    new = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)) % STRETCH == 0
-    steps = np.add.reduceat(size, np.flatnonzero(new))
-    return total + np.bincount(rows[new], weights=_mixed(inputs, gate, bit, steps), minlength=n)
+    return inputs, seen
+
 
+def _mixed(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray, learning: bool = False):
+    """Modelled bits of every text; the weights and refined probabilities at its end, and how often it used them (only for learning).
 
-def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Bits of every stretch, read side by side: step t takes the t-th bit of all stretches that have one."""
-    n = len(steps)
-    order = np.argsort(-steps, kind="stable")
+    Texts are read side by side, each from its first to its last token: step t takes the t-th token
+    of all texts that have one. The bits of a token lie on different levels and so share no weights
+    and no refined probabilities: all at once they learn the same as one by one. Bits are laid out for
+    about ``WINDOW`` tokens at a time; what the texts have learned goes on from window to window.
+    """
+    rows, hashes = tokens[:2]
+    ranks, contexts = model.dictionary.rank(at), _contexts(rows, hashes)
+    counts = np.bincount(rows, minlength=n)
     lane = np.empty(n, dtype=np.int64)
-    lane[order] = np.arange(n)
-    alive = np.searchsorted(-steps[order], -np.arange(steps.max()), side="left")
-    begin = np.concatenate([[0], np.cumsum(alive)])
-    own = np.repeat(lane, steps)
-    time = np.arange(len(bit)) - np.repeat(np.cumsum(steps) - steps, steps)
-    to = begin[time] + own
-    x = np.empty_like(inputs)
-    x[:, to] = inputs
-    cells = np.empty(len(bit), dtype=np.int64)
-    cells[to] = own * _GATES + gate
-    y = np.empty(len(bit), dtype=np.float32)
-    y[to] = bit
-    logits = np.empty(len(bit), dtype=np.float32)
-    maps = np.empty(len(bit), dtype=np.float32)
-    weights = np.repeat(np.array(_INITIAL, dtype=np.float32)[:, None], n * _GATES, axis=1)
-    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, _BINS))), n).astype(np.float32)
-    bins, scale, one = np.arange(n) * _BINS, np.float32((_BINS - 1) / 16), np.float32(1)
+    lane[np.argsort(-counts, kind="stable")] = np.arange(n)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    lanes = lane[rows]
+    reading = np.argsort(place * n + lanes)
+    first = np.concatenate([[0], np.cumsum(np.bincount(place))])
+    weights, refined = np.tile(start.weights, n), np.tile(start.refined, n)
+    used, met = (np.zeros(n * k, dtype=np.int64) if learning else None for k in (_GATES, _DEPTH * _BINS))
+    total = np.zeros(n)
+    scale, one, half, top = np.float32((_BINS - 1) / 16), np.float32(1), np.float32(0.5), np.float32(8)
     rate, map_rate = np.float32(RATE), np.float32(MAP_RATE)
-    for t, m in enumerate(alive.tolist()):
-        now = slice(begin[t], begin[t] + m)
-        cell, xs, ys = cells[now], x[:, now], y[now]
-        w = weights.take(cell, axis=1)
-        logit = (w * xs).sum(axis=0)
-        np.minimum(np.maximum(logit, np.float32(-8), out=logit), np.float32(8), out=logit)
-        logits[now] = logit
-        error = ys - one / (one + np.exp(-logit))
-        error *= rate
-        w += error * xs
-        weights[:, cell] = w
-        spot = bins[:m] + ((logit + np.float32(8)) * scale + np.float32(0.5)).astype(np.int64)
-        r = refined[spot]
-        maps[now] = r
-        refined[spot] = r + map_rate * (ys - r)
-    q = (one / (one + np.exp(-logits)) + maps) * np.float32(0.5)
-    cost = -np.log2(np.where(y > 0, q, one - q))
-    return np.bincount(own, weights=cost[to], minlength=n)[lane]
+    step = 0
+    while step < len(first) - 1:
+        last = max(step + 1, int(np.searchsorted(first, first[step] + WINDOW, side="right")) - 1)
+        chosen = reading[first[step]:first[last]]
+        nodes, bit, size, _ = _bits_of(ranks[chosen])
+        x, seen = _inputs(model, [c[chosen] for c in contexts], nodes, bit, size, learning)
+        own = np.repeat(lanes[chosen], size)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        level = np.arange(len(nodes)) - np.repeat(ends[:-1], size)
+        cells = own * _GATES + level * 4 + np.minimum((seen + 1) // 2, 3)
+        spots = (own * _DEPTH + level) * _BINS
+        y = bit.astype(np.float32)
+        logits, maps = np.empty(len(bit), dtype=np.float32), np.empty(len(bit), dtype=np.float32)
+        begin = ends[first[step:last + 1] - first[step]].tolist()
+        for b, e in zip(begin, begin[1:]):
+            cell, xs, ys = cells[b:e], x[:, b:e], y[b:e]
+            w = weights.take(cell, axis=1)
+            logit = (w * xs).sum(axis=0)
+            np.minimum(np.maximum(logit, -top, out=logit), top, out=logit)
+            logits[b:e] = logit
+            error = ys - one / (one + np.exp(-logit))
+            error *= rate
+            w += error * xs
+            weights[:, cell] = w
+            spot = spots[b:e]
+            spot += ((logit + top) * scale + half).astype(np.int64)
+            r = refined[spot]
+            maps[b:e] = r
+            refined[spot] = r + map_rate * (ys - r)
+        q = (one / (one + np.exp(-logits)) + maps) * half
+        total += np.bincount(own, weights=-np.log2(np.where(y > 0, q, one - q)), minlength=n)
+        if learning:
+            used += np.bincount(cells, minlength=len(used))
+            met += np.bincount(spots, minlength=len(met))
+        step = last
+    return total[lane], weights, refined, used, met
+
+
+def _learn(model_share):
+    """State after the training texts of a partition: its values by cell and how many bits each was learned from.
+
+    The texts of a slice all start from what those before it have left, which is the average of their ends by use.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, state = _shared(model_share), State.initial()
+        uses = np.zeros(len(state.flat()), dtype=np.int64)
+        for batch in slices(batches, "body", READ_BYTES):
+            tokens = _tokens(batch.column("body"))
+            n = batch.num_rows
+            _, weights, refined, used, met = _mixed(model, state, n, tokens, model.dictionary.find(tokens[1]), learning=True)
+            used, met = used.reshape(n, -1), met.reshape(n, -1)
+            by_gate, by_bin = used.sum(axis=0), met.sum(axis=0)
+            weights = (weights.reshape(_ORDERS, n, -1) * used).sum(axis=1) / np.maximum(by_gate, 1)
+            refined = (refined.reshape(n, -1) * met).sum(axis=0) / np.maximum(by_bin, 1)
+            state = State(np.where(by_gate > 0, weights, state.weights).astype(np.float32), np.where(by_bin > 0, refined, state.refined).astype(np.float32))
+            uses += np.concatenate([np.tile(by_gate, _ORDERS), by_bin])
+        found = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(found.astype(np.int32)), "value": pa.array(state.flat()[found].astype(np.float64)), "n": pa.array(uses[found])})
+
+    return run
+
+
+def learned(training: DataFrame, model_share) -> State:
+    """The state that every text starts from: those of all partitions of the training texts, averaged by use."""
+    parts = training.select("body").mapInArrow(_learn(model_share), "cell int, value double, n long")
+    means = parts.groupBy("cell").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
+    return State.of({r["cell"]: r["value"] for r in means.collect()})
 
 
 _SCORED = "row long, doc_id long, n_tokens long, known long, known_score double, n_bytes long, bits double, rare binary"
 
 
-def _score(model_share):
+def _score(model_share, start: State):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _shared(model_share)
         logs = np.log10(model.dictionary.counts + 0.1)
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", READ_BYTES):
             column = batch.column("body")
             tokens = _tokens(column)
             rows, hashes = tokens[:2]
@@ -356,7 +442,7 @@ def _score(model_share):
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.bincount(rows, minlength=n)),
                 "known": pa.array(known), "known_score": pa.array(score), "n_bytes": pa.array(np.diff(buffer_of(column)[1])),
-                "bits": pa.array(bits(model, n, tokens, at)), "rare": pa.array(packed, pa.binary())})
+                "bits": pa.array(bits(model, start, n, tokens, at)), "rare": pa.array(packed, pa.binary())})
 
     return run
 
@@ -379,7 +465,7 @@ def score(documents: DataFrame) -> DataFrame:
     parts = {r["part"]: zlib.decompress(bytes(r["counts"])) for r in trained.mapInArrow(_merge, "part int, counts binary").collect()}
     model = _Share(spark, Model(found, parts))
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    scored = written(numbered.mapInArrow(_score(model), _SCORED))
+    scored = written(numbered.mapInArrow(_score(model, learned(training, model)), _SCORED))
     rare = scored.select("row", "rare").mapInArrow(_unpack, "row long, token long").groupBy("row", "token").agg(F.count("*").alias("k"))
     joined = rare.join(counts, "token", "left")
     c = F.coalesce("c", F.lit(0))

@@ -397,3 +397,50 @@ def test_code_of_ranks_is_complete():
         share[tuple(zip(nodes[s:e].tolist(), bits[s:e].tolist()))] += 2.0 ** -f
     assert max(share.values()) <= 1.0
     assert all(not set(b).issuperset(a) for a in list(share)[:40] for b in share if a != b)
+
+
+def small_model(texts):
+    """Model of texts, and their tokens with indices in the dictionary, without Spark."""
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    tokens = mixing._tokens(column)
+    dictionary = mixing.Dictionary(*np.unique(tokens[1], return_counts=True))
+    mixing._held["small"] = dictionary
+    share = type("Share", (), {"key": "small"})
+    batch = pa.RecordBatch.from_pydict({"body": column})
+    parts = [x for b in mixing._merge(mixing._train(share)([batch])) for x in b.to_pylist()]
+    return mixing.Model(dictionary, {x["part"]: zlib.decompress(x["counts"]) for x in parts}), batch, tokens, dictionary.find(tokens[1])
+
+
+def test_mixing_learns_through_the_whole_text():
+    """Every bit changes what the next ones of its text meet, far beyond any stretch; read here one by one."""
+    texts = [prose(1, 700), prose(2, 5), "", prose(1, 300) + " " + prose(3, 90)]
+    model, _, tokens, at = small_model(texts)
+    start = mixing.State.of({0: 0.7, 5: 0.1, mixing._ORDERS * mixing._GATES + 40: 0.2})
+    got, *_ = mixing._mixed(model, start, len(texts), tokens, at)
+    nodes, bit, size, _ = mixing._bits_of(model.dictionary.rank(at))
+    x, seen = mixing._inputs(model, mixing._contexts(*tokens[:2]), nodes, bit, size, False)
+    level = np.concatenate([np.arange(k) for k in size])
+    rows = np.repeat(tokens[0], size)
+    for row in range(len(texts)):
+        weights, refined, cost = start.weights.astype(float), start.refined.reshape(-1, mixing._BINS).astype(float), 0.0
+        for i in np.flatnonzero(rows == row):
+            gate = level[i] * 4 + min((int(seen[i]) + 1) // 2, 3)
+            logit = float(np.clip(weights[:, gate] @ x[:, i], -8, 8))
+            p, spot = 1 / (1 + math.exp(-logit)), int((logit + 8) * (mixing._BINS - 1) / 16 + 0.5)
+            q = (p + refined[level[i], spot]) / 2
+            cost -= math.log2(q if bit[i] else 1 - q)
+            weights[:, gate] += mixing.RATE * (bit[i] - p) * x[:, i]
+            refined[level[i], spot] += mixing.MAP_RATE * (bit[i] - refined[level[i], spot])
+        assert got[row] == pytest.approx(cost, rel=2e-3)
+
+
+def test_training_texts_teach_the_mix(spark):
+    """The state that texts start from is learned over all training texts, and helps texts of their kind."""
+    texts = [prose(i % 12, 150) for i in range(60)]
+    model, _, tokens, at = small_model(texts)
+    df = spark.createDataFrame([(t.encode(),) for t in texts], "body binary").repartition(3)
+    state = mixing.learned(df, mixing._Share(spark, model))
+    first = mixing.State.initial()
+    assert not np.allclose(state.weights, first.weights, atol=0.01) and not np.allclose(state.refined, first.refined, atol=0.01)
+    taught, untaught = (mixing._mixed(model, s, len(texts), tokens, at)[0].sum() for s in (state, first))
+    assert taught < untaught
