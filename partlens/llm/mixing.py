@@ -2,8 +2,8 @@
 
 Tokens are lower-cased words and an end per text. Training texts give the counts of all tokens
 and, for the ``DICTIONARY`` most frequent ones, ranks. A token is coded in bits: the number of
-binary digits of its rank (a walk of five bits, escape included), then up to ``DETAIL`` leading
-digits of it; further digits are near uniform and cost one bit each. Tokens outside the
+binary digits of its rank (a walk of five bits, escape included), then all digits after the
+first; every bit is modelled, so words of near ranks are told apart by their contexts. Tokens outside the
 dictionary follow an escape letter by letter, each with its probability after the three before.
 
 Each modelled bit is predicted in three contexts: its place in the code alone, with the token
@@ -41,7 +41,6 @@ from .common import slices
 from .tables import written
 
 DICTIONARY = 1 << 19
-DETAIL = 3
 SLOTS = 1 << 20
 WINDOW = 1 << 15
 READ_BYTES = 4 << 20
@@ -52,7 +51,7 @@ _ORDERS = 3
 _END = np.uint64(0x0E4D0F7E87)
 _LEVELS = 5  # bits that say how many digits a rank has
 _ESCAPE = 31
-_DEPTH = _LEVELS + DETAIL
+_DEPTH = _LEVELS + DICTIONARY.bit_length() - 1  # modelled bits of a token at most
 _GATES = _DEPTH * 4
 _BINS = 24
 _PARTS = 64
@@ -150,17 +149,24 @@ class Dictionary:
 
 
 def _bits_of(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Modelled bits of tokens (rank -1: outside), one after the other: nodes and bits; how many each token has; its free digits."""
+    """Bits of tokens (rank -1: outside), one after the other: nodes and bits; how many each token has; its free digits, of which there are none."""
     digits = np.where(ranks < 0, _ESCAPE, np.frexp((ranks + 1).astype(np.float64))[1] - 1)
     rest = np.where(ranks < 0, 0, digits)
-    # the walk: digits of the count of digits, then leading digits of the rank, as one number with a leading 1
-    taken = np.minimum(rest, DETAIL)
-    size = _LEVELS + taken
-    walk = (((1 << _LEVELS) + digits) << taken) + (np.where(ranks < 0, 0, (ranks + 1) >> (rest - taken)) & ((1 << taken) - 1))
+    # the walk: digits of the count of digits, then the digits of the rank after the first, as one number with a leading 1
+    size = _LEVELS + rest
+    walk = (((1 << _LEVELS) + digits) << rest) + (np.where(ranks < 0, 0, ranks + 1) & ((1 << rest) - 1))
     place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     left = np.repeat(size, size) - place
     steps = np.repeat(walk, size) >> (left - 1)
-    return steps >> 1, (steps & 1).astype(np.int8), size, rest - taken
+    return steps >> 1, (steps & 1).astype(np.int8), size, np.zeros_like(size)
+
+
+def _dense(nodes: np.ndarray) -> np.ndarray:
+    """Nodes as different numbers of no more than twice the greatest rank, so that each has a slot of its own."""
+    known = np.maximum(np.frexp(nodes.astype(np.float64))[1] - 1 - _LEVELS, -1)  # digits of the rank before this one
+    k = np.maximum(known, 0)
+    digits, leading = (nodes >> k) & (2 ** _LEVELS - 1), nodes & ((1 << k) - 1)
+    return np.where(known < 0, nodes, (1 << _LEVELS) + (1 << digits) + (1 << k) + leading)
 
 
 def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -174,9 +180,9 @@ def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Slots of modelled bits; without a context the node itself is one."""
+    """Slots of modelled bits; without a context every node has its own."""
     if not order:
-        return nodes
+        return _dense(nodes)
     return (((context ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64)
 
 
@@ -302,7 +308,7 @@ def bits(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at:
     if outside.any():
         word, cell = _letters(data, starts[outside], ends[outside])
         total -= np.bincount(rows[outside][word], weights=model.letters[cell], minlength=n)
-    return total + np.bincount(rows, weights=_bits_of(model.dictionary.rank(at))[3], minlength=n)
+    return total
 
 
 def _without(logit: np.ndarray, times: np.ndarray, bit: np.ndarray) -> np.ndarray:

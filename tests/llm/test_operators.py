@@ -444,3 +444,23 @@ def test_training_texts_teach_the_mix(spark):
     assert not np.allclose(state.weights, first.weights, atol=0.01) and not np.allclose(state.refined, first.refined, atol=0.01)
     taught, untaught = (mixing._mixed(model, s, len(texts), tokens, at)[0].sum() for s in (state, first))
     assert taught < untaught
+
+
+def test_every_digit_of_a_rank_is_modelled():
+    ranks = np.array([-1, *range(3000), (1 << 19) - 1, 1 << 18, 300_000, 500_001])
+    nodes, _, size, free = mixing._bits_of(ranks)
+    assert not free.any() and max(size) <= mixing._DEPTH
+    assert size.tolist() == [mixing._LEVELS + (0 if r < 0 else int(r + 1).bit_length() - 1) for r in ranks]
+    kinds = np.unique(nodes)
+    slots = mixing._slots(0, np.zeros(len(kinds), np.uint64), kinds)
+    assert len(set(slots.tolist())) == len(kinds) and slots.max() < mixing.SLOTS
+
+
+def test_contexts_tell_words_of_one_bucket_apart():
+    """Of 64 equally frequent words, the one that follows the word before costs less than all others."""
+    words = ["w%02d" % i for i in range(64)]
+    texts = ["new york " + " ".join(f"{w} {w}" for w in words)] * 20 + [f"new {w}" for w in ["york", *words[:-1]]]
+    model, _, tokens, at = small_model(texts[:20])
+    _, batch, tokens, _ = small_model(texts)
+    cost = mixing.bits(model, mixing.State.initial(), len(texts), tokens, model.dictionary.find(tokens[1]))[20:]
+    assert cost[0] + 2 < min(cost[1:])
