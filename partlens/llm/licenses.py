@@ -6,8 +6,9 @@ hold them, rarest first. Each template is indexed by its prefix, the rarest word
 any containing block must have one; a block is looked up by its words, cut off by its length and
 by the places of the first common word on both sides, and only then compared.
 
-Blocks are the lines of a text; a line of more than ``BLOCK`` words is read in blocks of that
-size which overlap by half, so every run of up to half a block lies in one. The templates are a fixed
+Blocks are the lines of a text, and all its words with line breaks as blanks, so that wrapped notices
+are whole. More than ``BLOCK`` words are read in blocks of that size which overlap by half, so every
+run of up to half a block lies in one, whatever lines it spans. The templates are a fixed
 list, so the index and the counts of its words are bounded whatever the corpus.
 
 Defined cases: a null or empty text has no words and no labels; repeated rows are scanned one
@@ -130,8 +131,10 @@ def _phrases(text: bytes) -> list[tuple[int, str]]:
 
 
 def blocks(body: bytes) -> Iterator[set[bytes]]:
-    for line in body.translate(_FOLD_LINES).split(b"\n"):
-        words = line.split()
+    parts = [words for line in body.translate(_FOLD_LINES).split(b"\n") if (words := line.split())]
+    if len(parts) != 1:
+        parts.append([word for words in parts for word in words])
+    for words in parts:
         for start in range(0, max(len(words) - BLOCK // 2, 1), BLOCK // 2):
             yield set(words[start:start + BLOCK])
 

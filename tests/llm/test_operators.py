@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -464,3 +465,14 @@ def test_contexts_tell_words_of_one_bucket_apart():
     _, batch, tokens, _ = small_model(texts)
     cost = mixing.bits(model, mixing.State.initial(), len(texts), tokens, model.dictionary.find(tokens[1]))[20:]
     assert cost[0] + 2 < min(cost[1:])
+
+
+@pytest.mark.parametrize("width", (60, 70, 80))
+@pytest.mark.parametrize("lead", ("", "# ", " * "))
+def test_wrapped_notices_are_found(spark, width, lead):
+    """Every template has its label when it is wrapped over lines between others, also in a comment header."""
+    rows = [(i, "\n".join([prose(i, 90), *(lead + x for x in textwrap.wrap(wording, width - len(lead))), prose(i + 50, 90)]))
+            for i, (_, wording) in enumerate(licenses.TEMPLATES)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i].labels.split(",") and found[i].score == 1.0
