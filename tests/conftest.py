@@ -17,8 +17,3 @@ def spark():
         session.sparkContext.setLogLevel("ERROR")
         yield session
         session.stop()
-
-
-def rows(df, *columns):
-    """Collected rows as sorted tuples."""
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

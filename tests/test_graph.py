@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
-from conftest import rows
+from collecting import rows
 
 from partlens.operators import community, graph, keyed
 

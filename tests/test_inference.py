@@ -2,7 +2,7 @@ import random
 from statistics import NormalDist, mean, pstdev, variance
 
 import pytest
-from conftest import rows
+from collecting import rows
 from pyspark.sql import functions as F
 
 from partlens.functions.expressions import normal_cdf

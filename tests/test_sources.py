@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from collecting import rows
 from pyspark.sql import functions as F
 
 from partlens import schemas
