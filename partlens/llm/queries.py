@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, exact, jaccard, licenses, lines, merkle, mixing, packing, quality, sentencepieces, suffixes
+from . import chat, exact, findings, jaccard, licenses, lines, merkle, middles, mixing, packing, quality, sentencepieces, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,3 +26,5 @@ _query("op6_suffix_array_dedup", "documents", suffixes.digest)
 _query("op4_sentencepiece", "documents", lambda docs: sentencepieces.digest(docs, public_tokenizers.path("piece_bpe_32k.model")))
 _query("op10_lm_scoring", "documents", mixing.score)
 _query("op11_merkle_manifest", "documents", merkle.digest, merkle.ORACLE)
+_query("op12_fill_in_middle", "documents", middles.digest, middles.ORACLE)
+_query("op13_secret_scan", "documents", findings.scan)
