@@ -19,6 +19,8 @@ empty table has no leaves, no runs and no rows; further columns are ignored, wha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,7 +106,8 @@ def _levels(nodes: DataFrame, sizes: DataFrame, largest: int) -> tuple[list[Data
 def build(leaves: DataFrame) -> Manifest:
     """The manifest of ``leaves`` (doc_id, lang, leaf and any further columns, which its table of leaves keeps)."""
     rest = [c for c in leaves.columns if c not in ("doc_id", "lang", "leaf")]
-    numbered = written(number_rows(written(leaves), ["lang", "doc_id", "leaf"], "leaf_id"))
+    kept = written(leaves)
+    numbered = number_rows(kept, ["lang", "doc_id", "leaf"], "leaf_id")
     counted = written(numbered.groupBy("lang").agg(F.min("leaf_id").alias("first"), F.count("*").alias("n")))
     trees = written(number_rows(counted, ["lang"], "tree"))
     n_trees, largest = trees.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -114,7 +117,7 @@ def build(leaves: DataFrame) -> Manifest:
     top = F.lit(n_trees > 1)
     starts = [F.when(F.col("n") > 1, i).when(top, a).alias(name) for i, a, name in zip(inside, alone, names)]
     climbers = written(placed.select("leaf_id", "doc_id", "lang", "leaf", *rest, "tree", (F.col("leaf_id") - F.col("first")).alias("index"), *starts))
-    drop(numbered, counted)
+    drop(kept, counted)
 
     runs, subroots = _levels(climbers.select("tree", "index", F.col("leaf").alias("digest")), trees.select("tree", "n"), largest)
     subroots = written(subroots)
@@ -152,28 +155,38 @@ SELECT leaf_id, step, folded, siblings FROM climb
 """
 
 
-def climb(manifest: Manifest, claims: DataFrame) -> DataFrame:
-    """leaf_id, step, folded digest and siblings of every step of every claim.
-
-    ``claims`` has leaf_id, claimed and the start of the climb (up_tree, up_level, up_run,
-    up_slot) of the manifest's leaves. The rows of a recursion are not limited: their number is that of leaves
-    times height.
-    """
-    spark = claims.sparkSession
+@contextmanager
+def _rows_unlimited(spark: SparkSession) -> Iterator[None]:
+    """The rows of a recursion are those of leaves times height; Spark's limit for runaway queries stands again afterwards."""
     limit = spark.conf.get(_ROWS_SETTING)
     spark.conf.set(_ROWS_SETTING, "-1")
     try:
-        query = spark.sql(_CLIMB.format(claims="{claims}", runs="{runs}", digest=_DIGEST), claims=claims, runs=manifest.runs)
-        return written(query)
+        yield
     finally:
         spark.conf.set(_ROWS_SETTING, limit)
 
 
-def proofs(steps: DataFrame) -> DataFrame:
-    """leaf_id, proof (siblings from the leaf up, as hexadecimal text) and the folded root."""
+def climb(manifest: Manifest, claims: DataFrame) -> DataFrame:
+    """leaf_id, step, folded digest and siblings of every step of every claim.
+
+    ``claims`` has leaf_id, claimed and the start of the climb (up_tree, up_level, up_run,
+    up_slot) of the manifest's leaves.
+    """
+    return claims.sparkSession.sql(_CLIMB.format(claims="{claims}", runs="{runs}", digest=_DIGEST), claims=claims, runs=manifest.runs)
+
+
+def folded(manifest: Manifest, claims: DataFrame, proof: bool = True) -> DataFrame:
+    """leaf_id, the root its claim folds to, and the proof (siblings from the leaf up, as hexadecimal text) with its SHA-256.
+
+    The steps of the recursion are grouped as they come and not written; without ``proof`` only its hash is kept.
+    """
     each = F.sort_array(F.collect_list(F.struct("step", "siblings", "folded")))
-    return steps.groupBy("leaf_id").agg(each.alias("steps")).select(
-        "leaf_id", F.array_join(F.transform("steps", lambda s: _hex(s["siblings"])), "").alias("proof"), F.element_at("steps", -1)["folded"].alias("folded_root"))
+    text = F.array_join(F.transform("steps", lambda s: _hex(s["siblings"])), "")
+    with _rows_unlimited(claims.sparkSession):
+        steps = climb(manifest, claims).groupBy("leaf_id").agg(each.alias("steps"))
+        told = steps.select("leaf_id", F.element_at("steps", -1)["folded"].alias("folded_root"), text.alias("proof")).withColumn(
+            "proof_sha256", F.sha2(F.col("proof").cast("binary"), 256))
+        return written(told if proof else told.drop("proof"))
 
 
 def manifest_of(documents: DataFrame) -> Manifest:
@@ -189,8 +202,8 @@ def verify(manifest: Manifest, documents: DataFrame) -> DataFrame:
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), leaf().alias("claimed"))
     places = manifest.leaves.select(F.col("doc_id").alias("own"), "leaf_id", "up_tree", "up_level", "up_run", "up_slot")
     claims = written(found.join(places, F.col("doc_id").eqNullSafe(F.col("own")), "left"))
-    folded = proofs(climb(manifest, claims.where("leaf_id IS NOT NULL").drop("doc_id", "own")))
-    roots = folded.join(F.broadcast(manifest.root), F.col("folded_root") == F.col("root"), "left_semi").select(F.col("leaf_id").alias("good"))
+    claimed = folded(manifest, claims.where("leaf_id IS NOT NULL").drop("doc_id", "own"), proof=False)
+    roots = claimed.join(F.broadcast(manifest.root), F.col("folded_root") == F.col("root"), "left_semi").select(F.col("leaf_id").alias("good"))
     return claims.join(roots, F.col("leaf_id") == F.col("good"), "left").select("doc_id", F.col("good").isNotNull().alias("verified"))
 
 
@@ -202,13 +215,13 @@ def digest(documents: DataFrame) -> DataFrame:
         "doc_id", "lang", leaf().alias("leaf"), F.when(tampers, leaf(text=small)).alias("tampered"))
     manifest = build(hashed)
     start = ("up_tree", "up_level", "up_run", "up_slot")
-    steps = climb(manifest, manifest.leaves.select("leaf_id", F.coalesce("tampered", "leaf").alias("claimed"), *start))
+    tops = folded(manifest, manifest.leaves.select("leaf_id", F.coalesce("tampered", "leaf").alias("claimed"), *start), proof=False)
     own = manifest.leaves.select("leaf_id", "doc_id", "leaf", "tree")
     subroots = manifest.trees.select(F.col("tree").alias("its_tree"), "subroot")
-    told = join_counted(own.join(proofs(steps), "leaf_id"), subroots, F.col("tree") == F.col("its_tree")).join(F.broadcast(manifest.root))
+    told = join_counted(own.join(tops, "leaf_id"), subroots, F.col("tree") == F.col("its_tree")).join(F.broadcast(manifest.root))
     return told.select(
         "doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), _hex(F.col("root")).alias("root"),
-        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), _hex(F.col("folded_root")).alias("folded_root"),
+        "proof_sha256", _hex(F.col("folded_root")).alias("folded_root"),
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 

@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "suffix_array_dedup", "best_fit_packing"]
 
 
