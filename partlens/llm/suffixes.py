@@ -23,14 +23,16 @@ All strings led by a gram contain it, so what is removed around it is one interv
 intervals of a text are merged. Grams and texts are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than SPAN neither; rows
-with equal texts are cut alike; in ``cut_documents`` a character cut in two is dropped and a null
-text stays null.
+with equal texts are cut alike; an empty table gives no rows; a text of any length is read in
+one go; in ``cut_documents`` a character cut in two is dropped and a null text stays null; columns named
+``__tid``, ``__body`` or ``__spans`` must not be there already.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,9 @@ from .tables import drop, written
 
 SPAN = 400
 GRAM = 100
+#: Passages of over 50 words may have far fewer bytes than SPAN: the length, and grams, for finding these.
+PASSAGE = 250
+PASSAGE_GRAM = 64
 SHALLOW = 32
 GROUP = 20_000
 _STEP = 8
@@ -175,14 +180,14 @@ def shared_reach(left: Sequence[bytes], right: Sequence[bytes], span: int = SPAN
     return found
 
 
-def _leaders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def _leaders(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
     """Places of leading grams, their hashes, rows, and the first and last string each leads."""
     none = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    width = SPAN - GRAM + 1
-    if len(data) < SPAN:
+    width = span - gram + 1
+    if len(data) < span:
         return none
-    starts = np.arange(len(data) - GRAM + 1)
-    hashes = stretch_hashes(prefix_hashes(data), starts, starts + GRAM)
+    starts = np.arange(len(data) - gram + 1)
+    hashes = stretch_hashes(prefix_hashes(data), starts, starts + gram)
     bits = np.uint64(max(24, int(len(data)).bit_length()))
     packed = ((hashes >> bits) << bits) | starts.astype(np.uint64)
     # smallest of every ``width`` in a row, from minima within blocks
@@ -195,7 +200,7 @@ def _leaders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     least = np.minimum(behind[:n], ahead[width - 1: width - 1 + n])
     window = np.arange(n)
     row = np.searchsorted(offsets, window, side="right") - 1
-    valid = window + SPAN <= offsets[row + 1]
+    valid = window + span <= offsets[row + 1]
     window, row = window[valid], row[valid]
     if not len(window):
         return none
@@ -207,7 +212,7 @@ def _leaders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return leader[first], hashes[leader[first]].view(np.int64), row[first], window[first], window[last]
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], span: int, gram_size: int) -> Iterator[pa.RecordBatch]:
     """gram, tid, pos of the leading grams; of equal texts a task reads one."""
     told: set[int] = set()
     for batch in slices(batches, "body"):
@@ -215,7 +220,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = [t not in told and not told.add(t) for t in tids.tolist()]
         batch = batch.filter(pa.array(fresh))
         data, offsets = buffer_of(batch.column("body"))
-        place, gram, row, _, _ = _leaders(data, offsets)
+        place, gram, row, _, _ = _leaders(data, offsets, span, gram_size)
         yield pa.RecordBatch.from_pydict({
             "gram": pa.array(gram), "tid": batch.column("tid").take(pa.array(row)), "pos": pa.array(place - offsets[row] if len(row) else place)})
 
@@ -223,18 +228,18 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = "gram long, tid long, pos long, ahead int, h1 long, h2 long, context binary"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], span: int, gram_size: int) -> Iterator[pa.RecordBatch]:
     """Contexts of the shared grams of every text: ``ahead`` bytes stand before the gram."""
     for batch in slices(batches, "body"):
         data, offsets = buffer_of(batch.column("body"))
-        place, gram, row, first, last = _leaders(data, offsets)
+        place, gram, row, first, last = _leaders(data, offsets, span, gram_size)
         tids, shared, whole = batch.column("tid").to_pylist(), batch.column("places").to_pylist(), data.tobytes()
         wanted = {(r, p) for r, ps in enumerate(shared) for p in ps}
         rows = []
         for g, at, r, s, e in zip(gram.tolist(), place.tolist(), row.tolist(), first.tolist(), last.tolist()):
             pos = at - int(offsets[r])
             if (r, pos) in wanted:
-                context = whole[s:e + SPAN]
+                context = whole[s:e + span]
                 digest = hashlib.blake2b(context, digest_size=16).digest()
                 rows.append((g, tids[r], pos, at - s, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), context))
         kinds = (*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -244,7 +249,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _REACH = "gram long, ahead int, h1 long, h2 long, low int, high int"
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], span: int, gram_size: int) -> Iterator[pa.RecordBatch]:
     """Reach of every context among those of its gram, from rows sorted by gram."""
     def groups() -> Iterator[list[tuple]]:
         held: list[tuple] = []
@@ -263,7 +268,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     out: list[tuple] = []
     for group in groups():
-        reach = shared_reach([x[4][:x[1]][::-1] for x in group], [x[4][x[1]:] for x in group], SPAN, GRAM)
+        reach = shared_reach([x[4][:x[1]][::-1] for x in group], [x[4][x[1]:] for x in group], span, gram_size)
         out += [(*x[:4], *r) for x, r in zip(group, reach) if r]
         if len(out) > 10_000:
             yield flush(out)
@@ -271,13 +276,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(out)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Every string of the contexts with its hash, for grams with too many contexts to gather."""
     for batch in batches:
         rows = []
         for gram, ahead, h1, h2, context in zip(*[batch.column(k).to_pylist() for k in ("gram", "ahead", "h1", "h2", "context")]):
-            for at in range(len(context) - SPAN + 1):
-                rows.append((gram, ahead, h1, h2, ahead - at, hashlib.blake2b(context[at:at + SPAN], digest_size=16).digest()))
+            for at in range(len(context) - span + 1):
+                rows.append((gram, ahead, h1, h2, ahead - at, hashlib.blake2b(context[at:at + span], digest_size=16).digest()))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["gram", "ahead", "h1", "h2", "offset", "string"])
 
@@ -287,10 +292,10 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("*", F.xxhash64(body).alias("__tid"), body.alias("__body"))
 
 
-def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """tid (hash of a text) and its removed stretches as [start, end] pairs, unmerged; whole texts that occur twice."""
-    texts = documents.select(F.col("__tid").alias("tid"), F.col("__body").alias("body"), F.col("doc_id").cast("long").alias("doc_id")).where(F.length("body") >= SPAN)
-    grams = written(texts.select("tid", "body").mapInArrow(_grams, "gram long, tid long, pos long"))
+def spans(documents: DataFrame, group: int = GROUP, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """tid (hash of a text) and its stretches of repeated strings of ``span`` bytes as [start, end] pairs, unmerged; whole texts that occur twice."""
+    texts = documents.select(F.col("__tid").alias("tid"), F.col("__body").alias("body"), F.col("doc_id").cast("long").alias("doc_id")).where(F.length("body") >= span)
+    grams = written(texts.select("tid", "body").mapInArrow(partial(_grams, span=span, gram_size=gram), "gram long, tid long, pos long"))
     place = F.struct("tid", "pos")
     shared = written(grams.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("gram"))
     places = grams.join(shared, "gram", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("places"))
@@ -298,24 +303,24 @@ def spans(documents: DataFrame, group: int = GROUP) -> DataFrame:
     chosen = written(places.join(counted, "tid").select(F.col("tid").alias("__t"), "places", "owner"))
     bodies = texts.join(chosen.hint("merge"), (texts["tid"] == chosen["__t"]) & texts["doc_id"].eqNullSafe(chosen["owner"]))
     drop(shared)
-    contexts = written(bodies.select("tid", "body", "places").mapInArrow(_contexts, _CONTEXT))
+    contexts = written(bodies.select("tid", "body", "places").mapInArrow(partial(_contexts, span=span, gram_size=gram), _CONTEXT))
     drop(grams, chosen)
     key = ["gram", "ahead", "h1", "h2"]
     kinds = contexts.groupBy(*key).agg((F.min(place) != F.max(place)).alias("multi"), F.length(F.first("context")).alias("size"))
     sizes = written(kinds.groupBy("gram").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"))
     several = written(contexts.select(*key, "context").dropDuplicates(key).join(sizes, "gram"))
     dealt = several.where(F.col("n_kinds") <= group).repartition("gram").sortWithinPartitions("gram")
-    reach = dealt.select(*key, "context").mapInArrow(_compare, _REACH)
+    reach = dealt.select(*key, "context").mapInArrow(partial(_compare, span=span, gram_size=gram), _REACH)
     strings = several.where(F.col("n_kinds") > group).select(*key, "context").mapInArrow(
-        _strings, "gram long, ahead int, h1 long, h2 long, offset int, string binary")
+        partial(_strings, span=span), "gram long, ahead int, h1 long, h2 long, offset int, string binary")
     one = F.struct("ahead", "h1", "h2")
     twice = strings.groupBy("gram", "offset", "string").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("gram", "offset", "string")
     reach = reach.union(strings.join(twice, ["gram", "offset", "string"], "left_semi").groupBy(*key).agg(F.min("offset").alias("low"), F.max("offset").alias("high")).select(*key, "low", "high"))
-    whole = kinds.where("multi").select(*key, (F.lit(SPAN) - F.col("size") + F.col("ahead")).cast("int").alias("low"), F.col("ahead").alias("high"))
+    whole = kinds.where("multi").select(*key, (F.lit(span) - F.col("size") + F.col("ahead")).cast("int").alias("low"), F.col("ahead").alias("high"))
     reach = written(whole.union(reach).groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")))
     drop(several, sizes)
     found = contexts.select(*key, "tid", "pos").join(reach, key).select(
-        "tid", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + SPAN).alias("end")).alias("span"))
+        "tid", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + span).alias("end")).alias("span"))
     full = counted.where("n > 1").select("tid", F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end")).alias("span"))
     return found.union(full).groupBy("tid").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
@@ -337,29 +342,41 @@ def _rest(body: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(body[s:e] for s, e in zip(edges[::2], edges[1::2]))
 
 
-def _marked(documents: DataFrame, group: int) -> DataFrame:
-    texts = _texts(documents)
-    found = written(spans(texts, group)).select(F.col("tid").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
-    return texts.join(found.hint("merge"), texts["__tid"] == found["__t"], "left").drop("__t")
+def _marked(documents: DataFrame, **found: DataFrame) -> DataFrame:
+    """The texts with a column of spans for each written table of ``found`` (tid, spans); one join to the texts."""
+    texts, every = _texts(documents), None
+    for name, table in found.items():
+        own = table.select(F.col("tid").alias("__t"), F.col("spans").alias(name))
+        every = own if every is None else every.join(own, "__t", "full")
+    return texts.join(every.hint("merge"), texts["__tid"] == every["__t"], "left").drop("__t")
 
 
 def digest(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes, one row per document."""
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes, one row per document.
+
+    ``n_shared`` and ``n_shared_spans`` count the bytes and runs of strings of ``PASSAGE`` bytes that occur
+    elsewhere, too; these are found by the same steps and not removed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__body"):
             rows = []
-            for doc, body, found in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "__body", "__spans")]):
-                cut = merged(found)
-                rows.append((doc, len(body), sum(e - s for s, e in cut), len(cut), hashlib.sha256(_rest(body, cut)).hexdigest()))
-            kinds = (*[pa.int64()] * 4, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    marked = _marked(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), group)
-    return marked.select("doc_id", "__body", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def cut_documents(documents: DataFrame, group: int = GROUP) -> DataFrame:
-    """The documents with their repeated strings removed; n_chars follows the text, other columns stay."""
+            for doc, body, found, shared in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "__body", "__spans", "__shared")]):
+                cut, same = merged(found), merged(shared)
+                rows.append((
+                    doc, len(body), sum(e - s for s, e in cut), len(cut), hashlib.sha256(_rest(body, cut)).hexdigest(), sum(e - s for s, e in same), len(same)))
+            kinds = (*[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64())
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_shared_spans"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _texts(plain)
+    marked = _marked(plain, __spans=written(spans(texts, group)), __shared=written(spans(texts, group, PASSAGE, PASSAGE_GRAM)))
+    return marked.select("doc_id", "__body", "__spans", "__shared").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, n_shared_spans long")
+
+
+def cut_documents(documents: DataFrame, group: int = GROUP, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The documents without their repeated strings of ``span`` bytes; n_chars follows the text, other columns stay."""
     columns = documents.columns
 
     @F.pandas_udf("string")
@@ -367,7 +384,8 @@ def cut_documents(documents: DataFrame, group: int = GROUP) -> DataFrame:
         return pd.Series([_rest(bytes(b), merged(f)).decode("utf-8", "ignore") for b, f in zip(bodies, found)])
 
     cut = F.col("__spans").isNotNull()
-    marked = _marked(documents, group).withColumn("text", F.when(cut, rest("__body", "__spans")).otherwise(F.col("text")))
+    marked = _marked(documents, __spans=written(spans(_texts(documents), group, span, gram))).withColumn(
+        "text", F.when(cut, rest("__body", "__spans")).otherwise(F.col("text")))
     if "n_chars" in columns:
         marked = marked.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return marked.select(*columns)

@@ -262,8 +262,9 @@ def test_components_of_chains_and_hubs(spark):
 @pytest.mark.parametrize("group", (1, 20_000))
 def test_suffix_dedup(docs, none, group):
     bodies = [(r[1] or "").encode() for r in messy()]
-    want = Counter((r[0], len(b), *cut[:2], plain.sha(cut[2])) for r, b, cut in zip(messy(), bodies, plain.repeated_strings(bodies)))
-    assert by_row(suffixes.digest(docs, group), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    want = Counter((*row, *shared[:2]) for row, shared in zip((
+        (r[0], len(b), *cut[:2], plain.sha(cut[2])) for r, b, cut in zip(messy(), bodies, plain.repeated_strings(bodies))), plain.repeated_strings(bodies, 250)))
+    assert by_row(suffixes.digest(docs, group), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_shared_spans") == want
     assert suffixes.digest(none, group).count() == 0
 
 
