@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partlens.llm import jaccard, lines, packing, quality, suffixes
 from partlens.llm.tables import written
@@ -18,9 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def _with_words(docs: DataFrame) -> DataFrame:
+    """Without documents of which a stage has left nothing; quality rules let none in that had no words before."""
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines."""
-    return lines.dedup_lines(docs)
+    """Deletes later copies of repeated runs of lines; documents that consist of them go."""
+    return _with_words(lines.dedup_lines(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes that occur more than once."""
-    return suffixes.cut_documents(docs)
+    """Removes strings of 250 bytes that occur more than once: passages of over 50 words, whatever their letters."""
+    return _with_words(suffixes.cut_documents(docs, span=suffixes.PASSAGE, gram=suffixes.PASSAGE_GRAM))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
