@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import suffix
+from . import pruned
 
 # What the scorer counts as a source file, and folders it leaves out.
 SOURCE_SUFFIXES = [".py", ".js", ".ts", ".tsx", ".go", ".rs", ".java", ".c", ".cc", ".cpp", ".h", ".hpp"]
@@ -22,19 +25,23 @@ EXTRACT_SKIPPED_FOLDERS = [*SKIPPED_FOLDERS, "doc", "third_party", "testdata", "
 MAX_SOURCE_BYTES = 2_000_000
 
 
-def read_checkouts(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, sha, path, length, text) of every file with a known suffix.
+def read_checkouts(spark: SparkSession, root: str, skipped: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """(repo, sha, path, length, text) of every file with a known suffix outside the folders that nothing reads.
 
-    Invalid UTF-8 is replaced, as a tolerant decoder does.
+    Folders, suffixes and filters on repo, sha, path and length are tested before a file is opened, where Arrow can
+    list the store; else Spark reads the files and the same tests follow. Invalid UTF-8 is replaced, as
+    a tolerant decoder does.
     """
-    known = "*{" + ",".join(sorted({*SOURCE_SUFFIXES, *LANGUAGE_OF_SUFFIX})) + "}"
+    known = sorted({*SOURCE_SUFFIXES, *LANGUAGE_OF_SUFFIX})
+    if pruned.reachable(root):
+        return pruned.checkout_files(spark, root, known, skipped)
     raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", known).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(known) + "}").load(root)
     )
     below = F.split(F.regexp_replace("path", "^.*?" + _plain(root) + "/+", ""), "/")
-    return raw.select(
-        below[0].alias("repo"), below[1].alias("sha"),
-        F.array_join(F.slice(below, F.lit(3), F.size(below)), "/").alias("path"),
+    inside = F.slice(below, F.lit(3), F.size(below))
+    return raw.where(~F.arrays_overlap(inside, F.array(*[F.lit(s) for s in skipped])) if skipped else F.lit(True)).select(
+        below[0].alias("repo"), below[1].alias("sha"), F.array_join(inside, "/").alias("path"),
         "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 

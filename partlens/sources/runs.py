@@ -1,6 +1,7 @@
 """Readers of run directories ``<root>/<repo>/<sha>/<label>/<rep>/``.
 
-The key of a record is its path. JSON is read once with an explicit schema;
+The key of a record is its path: filters on it choose which files are opened (``pruned``), where Arrow can list the
+store; else Spark's text reader lists them all. JSON is read once with an explicit schema;
 ``to_parquet`` then stores it by label and replicate, so later filters prune folders.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import labels
+from . import pruned
 
 CORRUPT = "_corrupt_record"
 KEY = list(schemas.RUN_KEY)
@@ -25,47 +27,46 @@ def run_key(path) -> list:
     return [F.url_decode(F.element_at(parts, i)).alias(n) for i, n in zip((-5, -4, -3, -2), KEY)]
 
 
+def read_text(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Whole text files (logs) with their run key; a directory without any is an empty table."""
+    if pruned.reachable(root):
+        return pruned.run_files(spark, root, name)
+    try:
+        raw = spark.read.text(f"{root}/*/*/*/*/{name}", wholetext=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in KEY) + ", value string")
+    return raw.select(*run_key("_metadata.file_path"), "value")
+
+
 def read_json(spark: SparkSession, root: str, name: str, fields: dict[str, str]) -> DataFrame:
     """All ``name`` files below ``root`` as key columns, fields and the raw text on error.
 
     A directory without any such file is an empty table; an empty file is an empty object.
     """
-    pattern = f"{root}/*/*/*/*/{name}"
-    try:
-        raw = spark.read.text(pattern, wholetext=True)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        names = [k for k in fields if k not in KEY]
-        return spark.createDataFrame([], schemas.ddl({**dict.fromkeys(KEY, "string"), **{k: fields[k] for k in names}, CORRUPT: "string"}))
+    raw = read_text(spark, root, name)
     text = F.when(F.trim("value") == "", F.lit("{}")).otherwise(F.col("value"))
     full = schemas.ddl({**fields, CORRUPT: "string"})
     parsed = F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     # the path is the key; fields of the same name inside the record are provenance only
     names = [k for k in fields if k not in KEY]
-    return raw.select(*run_key("_metadata.file_path"), parsed.alias("r")).select(
-        *KEY, *[F.col(f"r.{n}").alias(n) for n in (*names, CORRUPT)])
-
-
-def read_text(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Whole text files (logs) with their run key."""
-    try:
-        raw = spark.read.text(f"{root}/*/*/*/*/{name}", wholetext=True)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], ", ".join(f"{k} string" for k in KEY) + ", value string")
-    return raw.select(*run_key("_metadata.file_path"), "value")
+    return raw.select(*KEY, parsed.alias("r")).select(*KEY, *[F.col(f"r.{n}").alias(n) for n in (*names, CORRUPT)])
 
 
 def select_runs(df: DataFrame, label: str | None = None, reps: Sequence[str] | None = None,
-                holdout: DataFrame | None = None) -> DataFrame:
-    """Label, replicate and holdout filters; without a label all labels are pooled."""
+                holdout: DataFrame | Sequence[str] | None = None) -> DataFrame:
+    """Label, replicate and holdout filters; without a label all labels are pooled.
+
+    On a reader of this module the label and the replicates, and a holdout given as names, choose the files that are opened.
+    """
     if label is not None:
         df = df.where(F.col("label") == label)
     if reps:
         df = df.where(F.col("rep").isin(*[str(r) for r in reps]))
-    if holdout is not None:
+    if isinstance(holdout, (list, tuple)):
+        df = df.where(~F.col("repo").isin(*holdout)) if holdout else df
+    elif holdout is not None:
         df = df.join(holdout.select(F.col("name").alias("repo")), "repo", "left_anti")
     return df
 
