@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.expressions import mean_of, parent_dir, round_even
-from ..operators import agreement, community, contracts, graph
+from ..operators import agreement, community, contracts, exclusion, graph
 from ..session import materialize
 from ..sources import files as source_files
 from ..sources import runs as R
@@ -68,8 +68,7 @@ def score_tables(runs: DataFrame, m: dict[str, DataFrame], results: DataFrame, f
     scored = files.where(source_files.is_source("path")).select(*GK, "path").distinct()
 
     # coverage and validity
-    in_scope = contracts.in_scope(runs.select(*RK).join(scored, GK).select(*RK, "path"), m["excluded"], RK)
-    cover = contracts.coverage(in_scope, owner, RK)
+    cover = exclusion.coverage(runs, scored, owner, m["excluded"], RK, GK)
     resolved = contracts.edge_resolution(m["depends"], m["listed"], RK)
     counts = m["units"].groupBy(*RK).agg(
         F.count(F.lit(1)).alias("n_units"), F.avg((F.col("n_files") <= 1).cast("double")).alias("singleton_unit_frac"))

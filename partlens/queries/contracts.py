@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import contracts as C
+from ..operators import exclusion
 from ..operators.keyed import last_wins as keep_last
 from .registry import Tables, query
 
@@ -28,30 +29,31 @@ def _pages(t: Tables) -> DataFrame:
         F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+/", ""), "[?#].*$", "").alias("path"))
 
 
-def _scope(t: Tables) -> DataFrame:
+def _rules(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Files, and the rules of what is left out."""
     u = _pages(t)
-    files = u.select("repo", "path").distinct()
     rules = (
         u.where(F.col("url").contains("#top") & F.col("url").contains("//blog"))
         .select("repo", F.split("path", "/")[0].alias("path"))
         .unionByName(u.where(F.col("url").contains("?page")).select("repo", "path"))
         .unionByName(u.select("repo", F.lit("xx/").alias("path")))
     )
-    return C.in_scope(files, rules, ["repo"])
+    return u.select("repo", "path").distinct(), rules
 
 
 @query("exclusion_prefix", _PATHS + "SELECT repo, path FROM scope")
 def exclusion_prefix(t: Tables) -> DataFrame:
-    return _scope(t).select("repo", "path")
+    return C.in_scope(*_rules(t), ["repo"]).select("repo", "path")
 
 
 @query("coverage", _PATHS + """
 SELECT s.repo, round(avg((o.path IS NOT NULL)::INT), 6) AS coverage, count(*) AS n_in_scope
 FROM scope s LEFT JOIN (SELECT DISTINCT repo, path FROM u WHERE starts_with(url, 'https:')) o USING (repo, path) GROUP BY 1""")
 def coverage(t: Tables) -> DataFrame:
+    files, rules = _rules(t)
     owned = _pages(t).where(F.col("url").startswith("https:")).select(
         "repo", "path", F.split("path", "/")[0].alias("unit"), F.col("page_id").alias("pos"))
-    out = C.coverage(_scope(t), C.owners(owned, ["repo"]), ["repo"])
+    out = exclusion.coverage(files, files, C.owners(owned, ["repo"]), rules, ["repo"], ["repo"])
     return out.select("repo", F.round("coverage", 6).alias("coverage"), "n_in_scope")
 
 
