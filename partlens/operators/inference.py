@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_number, hash_index, ratio
 from ..session import materialize
-from .keyed import positions_within
+from .keyed import number_rows, positions_within
 from .summary import UNIT_OUTCOMES
 
 ALPHA = 0.10
@@ -259,20 +259,21 @@ def aa_splits(reps: Sequence[str]) -> list[tuple[str, ...]]:
 def aa_members(runs: DataFrame, rep: str = "rep") -> DataFrame:
     """The splits of ``aa_splits`` for all replicates in ``runs``: split, rep of each of its three members.
 
-    None below six replicates. Pairs of positions are made from the one sorted list of
-    replicate ids, so their number is that of the splits and nothing reaches the driver.
+    None below six replicates. A split is a number, and arithmetic gives the pair of positions it stands for, so
+    the splits are dealt like any range; replicates are numbered by a distributed sort and looked up by position.
     """
-    ids = runs.select(F.col(rep).cast("string").alias("rep")).where("rep IS NOT NULL").distinct()
-    listed = ids.agg(F.array_sort(F.collect_list("rep")).alias("reps")).where(F.size("reps") >= AA_REPLICATES)
-    n = F.size("reps")
-    pairs = (
-        listed.select("reps", F.explode(F.sequence(F.lit(1), n - 2)).alias("i"))
-        .select("reps", "i", F.explode(F.sequence(F.col("i") + 1, n - 1)).alias("j"))
-    )
-    before = (F.col("i") - 1) * (n - 1) - F.col("i") * (F.col("i") - 1) / 2
-    split = (before + F.col("j") - F.col("i") - 1).cast("int")
-    members = F.array(F.get("reps", F.lit(0)), F.get("reps", F.col("i")), F.get("reps", F.col("j")))
-    return pairs.select(split.alias("split"), F.explode(members).alias("rep"))
+    ids = number_rows(runs.select(F.col(rep).cast("string").alias("rep")).where("rep IS NOT NULL").distinct(), ["rep"], "at")
+    n = ids.count()
+    others = n - 1
+    total = others * (others - 1) // 2 if n >= AA_REPLICATES else 0
+    # pairs (i, j) of the replicates after the first, in order: those that start before i come first
+    ahead = lambda i: F.floor(i * (2 * others - i - 1) / 2)
+    split, width = F.col("split"), 2 * others - 1
+    near = F.floor((F.lit(width) - F.sqrt(F.lit(float(width * width)) - 8 * split)) / 2)
+    first = near + F.when(ahead(near + 1) <= split, 1).otherwise(0) - F.when(ahead(near) > split, 1).otherwise(0)
+    pairs = runs.sparkSession.range(total).withColumnRenamed("id", "split").withColumn("i", first)
+    places = F.array(F.lit(0).cast("long"), F.col("i") + 1, split - ahead(F.col("i")) + F.col("i") + 2)
+    return pairs.select("split", F.explode(places).alias("at")).join(ids, "at").select("split", "rep")
 
 
 def aa_test(runs: DataFrame, splits: Sequence[Sequence[str]] | None = None, value: str = "q_gain_dir", repo: str = "repo",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,12 +16,16 @@ from ..session import materialize
 from ..sources import files as source_files
 
 GK = list(schemas.GRAPH_KEY)
-VERSION = 1
+VERSION = 2
+#: Folders that the graphs of a store are dealt to, and the files a writer makes in each.
+BUCKETS, FILES_OF_BUCKET = 64, 4
+_KEY = "repo string, sha string"
 TABLES = {
     "edges": "src string, dst string", "refs": "src string, dst string, symbol string",
     "surface": "path string, symbol string", "effects": "path string, kind string",
 }
-IMPORT_LINE = r"^\s*(?:(?:import|from|use|require|#include)\b)"
+#: Fixed value: how a line begins that the word-matching graph reads.
+IMPORT_LINE = r"^\s*(import|from|use|require|#include)\b"
 
 
 @dataclass
@@ -60,26 +65,57 @@ def build_fallback(files: DataFrame) -> CodeGraph:
         effects=none(TABLES["effects"]), source="regex-fallback")
 
 
-def cached(spark: SparkSession, path: str, files: DataFrame) -> CodeGraph:
-    """Stored graphs, with those missing for a (repo, sha) computed and added first.
+def _with_bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*GK), F.lit(BUCKETS)).cast("int"))
 
-    The store is keyed by extractor version, so a new extractor never reads old facts.
-    """
-    base = f"{path}/version={VERSION}"
-    schema = "repo string, sha string"
+
+def _stored(spark: SparkSession, base: str, name: str, fields: str) -> DataFrame:
+    """A table of the store with its partition columns; one that was never written is empty."""
+    schema = ", ".join(x for x in (f"{_KEY}", fields, "bucket int, batch string") if x)
     try:
-        have = spark.read.schema(schema).parquet(f"{base}/graphs")
+        return spark.read.schema(schema).parquet(f"{base}/{name}")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        have = spark.createDataFrame([], schema)
-    missing = materialize(files.select(*GK).distinct().join(have, GK, "left_anti"))
+        return spark.createDataFrame([], schema)
+
+
+def _write(df: DataFrame, base: str, name: str, batch: str) -> None:
+    """The partitions of a batch, in place of what an earlier try of the same batch may have left."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_OF_BUCKET))
+    dealt = _with_bucket(df).withColumn("batch", F.lit(batch)).repartition(F.col("bucket"), salt)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{base}/{name}")
+
+
+def _batch_of(graphs: DataFrame) -> str:
+    """A name that the same graphs always get, so that a retry takes the place of the try before it."""
+    row = graphs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*GK).cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(F.xxhash64(F.lit("again"), *GK).cast("decimal(38,0)")), F.lit(0))).first()
+    return hashlib.sha256(":".join(map(str, row)).encode()).hexdigest()[:16]
+
+
+def cached(spark: SparkSession, path: str, files: DataFrame) -> CodeGraph:
+    """Stored graphs, with those missing for a (repo, sha) computed and added first.
+
+    Tables lie in folders ``version / bucket of (repo, sha) / batch``: an extractor of another version never reads
+    old facts, and reading some graphs opens the folders of their buckets only. A batch is named after its graphs and
+    listed in ``graphs`` when all its tables are written; rows of batches that are not listed for their graph are
+    not read. A try that broke off leaves nothing that counts, and its retry overwrites what it left.
+    """
+    base = f"{path}/version={VERSION}"
+    wanted = materialize(files.select(*GK).distinct())
+    buckets = sorted(r[0] for r in _with_bucket(wanted).select("bucket").distinct().collect())  # at most BUCKETS numbers
+
+    def listed() -> DataFrame:
+        have = _stored(spark, base, "graphs", "").where(F.col("bucket").isin(buckets)) if buckets else _stored(spark, base, "graphs", "").where(F.lit(False))
+        return have.groupBy(*GK, "bucket").agg(F.max("batch").alias("batch"))
+
+    missing = materialize(wanted.join(listed(), GK, "left_anti"))
     if not missing.isEmpty():
-        new = build(files.join(missing, GK, "left_semi"))
+        batch, new = _batch_of(missing), build(files.join(missing, GK, "left_semi"))
         for name in TABLES:
-            getattr(new, name).write.mode("append").parquet(f"{base}/{name}")
-        # listed last: a graph counts as stored only when all its tables are
-        missing.write.mode("append").parquet(f"{base}/graphs")
-    wanted = files.select(*GK).distinct()
-    read = lambda name: spark.read.schema(f"{schema}, {TABLES[name]}").parquet(f"{base}/{name}").join(wanted, GK, "left_semi").distinct()
+            _write(getattr(new, name), base, name, batch)
+        _write(missing, base, "graphs", batch)
+    current = materialize(wanted.join(listed(), GK))
+    read = lambda name: _stored(spark, base, name, TABLES[name]).where(F.col("bucket").isin(buckets) if buckets else F.lit(False)).join(
+        current, [*GK, "bucket", "batch"], "left_semi").drop("bucket", "batch")
     return CodeGraph(**{name: read(name) for name in TABLES})

@@ -97,7 +97,20 @@ def test_splits_of_any_number_of_replicates(spark):
     for n in (5, 6, 9, 70):
         df = spark.createDataFrame([("r", f"{i:03}", 1.0) for i in range(n)], "repo string, rep string, q_gain_dir double")
         want = {(i, r) for i, s in enumerate(I.aa_splits([f"{i:03}" for i in range(n)])) for r in s}
-        assert {tuple(r) for r in I.aa_members(df).collect()} == want
+        got = [tuple(r) for r in I.aa_members(df).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_splits_of_two_thousand_replicates(spark):
+    """Every pair after the first replicate once; no task and no row holds the list of replicates."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select(F.lit("r").alias("repo"), F.format_string("%04d", "id").alias("rep"), F.lit(1.0).alias("q_gain_dir"))
+    splits = I.aa_members(df).groupBy("split").agg(F.min("rep").alias("a"), F.max("rep").alias("c"), F.sum(F.col("rep").cast("long")).alias("s"), F.count("*").alias("n"))
+    b = F.col("s") - F.col("c").cast("long")
+    out = splits.agg(F.count("*"), F.max("split"), F.count_if((F.col("a") != "0000") | (F.col("n") != 3) | (b <= 0) | (b >= F.col("c").cast("long"))), F.sum("s")).first()
+    total = 1999 * 1998 // 2
+    assert tuple(out) == (total, total - 1, 0, sum(range(1, 2000)) * 1998)
 
 
 def test_icc(spark):
