@@ -63,14 +63,18 @@ def stratum_means(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def budget(runs: DataFrame, key: str = "repo", tokens: str = "tokens", cost: str = "cost",
            weekly_tokens: float | None = None) -> DataFrame:
-    """Token and cost rollup with a total row (null key) and the capacity it implies."""
+    """Token and cost rollup with a total row and the capacity it implies.
+
+    ``is_total`` tells the total row from that of a null key.
+    """
     out = runs.rollup(key).agg(
+        (F.grouping_id() == 1).alias("is_total"),
         F.count(F.lit(1)).alias("runs"),
         F.sum(tokens).cast("double").alias("total_tokens"),
         F.sum(cost).cast("double").alias("total_cost"),
     )
     out = out.select(
-        key, "runs",
+        key, "is_total", "runs",
         ratio("total_tokens", "runs").alias("tokens_per_run"),
         ratio("total_cost", "runs").alias("cost_per_run"),
         "total_tokens", "total_cost",
@@ -81,6 +85,11 @@ def budget(runs: DataFrame, key: str = "repo", tokens: str = "tokens", cost: str
     return out
 
 
+def budget_order(key: str = "repo") -> list[Column]:
+    """The order of a budget: repositories by tokens a run, largest first, and the total last."""
+    return [F.col("is_total"), F.desc("tokens_per_run"), F.col(key)]
+
+
 def unit_means(units: DataFrame, keys: Sequence[str] = ("repo",),
                outcomes: Sequence[str] = UNIT_OUTCOMES) -> DataFrame:
     """Number of units and mean of each outcome; units without a value are left out."""

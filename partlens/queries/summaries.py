@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import summary as S
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks
 from .registry import Tables, query
 
 _RUNS = """
@@ -83,6 +87,23 @@ def budget_rollup(t: Tables) -> DataFrame:
                       r("runs_per_week", 2), r("repos_per_week", 2))
 
 
+@query("budget_table", """
+WITH b AS (SELECT CASE WHEN s_acctbal >= 0 THEN n_name END AS repo, grouping(CASE WHEN s_acctbal >= 0 THEN n_name END) = 1 AS is_total, count(*) AS runs, sum(l_quantity) AS tk
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (CASE WHEN s_acctbal >= 0 THEN n_name END))
+SELECT row_number() OVER (ORDER BY is_total, tk / runs DESC, repo NULLS FIRST) - 1 AS position, repo, is_total, runs, round(tk / runs, 4) AS tokens_per_run FROM b""")
+def budget_table(t: Tables) -> DataFrame:
+    """The budget as a table in order, written and read again with the places of its rows; one repository has no name."""
+    lines = (
+        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.when(F.col("s_acctbal") >= 0, F.col("n_name")).alias("repo"), F.col("l_quantity").alias("tokens"), F.col("l_extendedprice").alias("cost"))
+    )
+    spark = t.lineitem.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/budget-{uuid.uuid4().hex}"
+    sinks.write_ordered(S.budget(lines), S.budget_order(), path)
+    return sinks.read_ordered(spark, path).select("position", "repo", "is_total", "runs", F.round("tokens_per_run", 4).alias("tokens_per_run"))
+
+
 _UNITS = """
 WITH u AS (SELECT o_orderpriority AS label, n_name AS repo, (o_orderstatus <> 'F') AS entered_from_outside,
     CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 500000 END AS entrypoint_r,

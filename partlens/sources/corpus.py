@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.expressions import hash_index, stem
 from ..operators.keyed import number_rows, top_k
+from .sinks import Folder, in_order
 
 UNPINNED = "PIN_ME"
 
@@ -122,10 +123,49 @@ def sample_meta(candidates: DataFrame, picked: DataFrame, queries: DataFrame,
 
 def corpus_lines(existing: DataFrame, chosen: DataFrame) -> DataFrame:
     """Corpus text with the existing rows kept and the pinned picks appended."""
-    line = lambda df: df.select(F.format_string("%-40s %s  %s  %s", "repo", "sha", "stratum", "language").alias("value"))
+    line = lambda df: df.select(F.format_string(LINE, "repo", "sha", "stratum", "language").alias("value"))
     return line(existing).unionByName(line(chosen))
 
 
+#: Fixed value: the format of a corpus line.
+LINE = "%-40s %s  %s  %s"
+HEADER = "# owner/name  sha  stratum  language"
+
+
+def kept_lines(spark: SparkSession, path: str) -> DataFrame:
+    """place, value: the lines of a corpus file or folder in order, without blank ones and comments."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return whole.where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.struct("file", "line").alias("place"), "value")
+
+
+def corpus_meta(cells: DataFrame, seed: int, n_requested: int, snapshot: str | Column | None = None) -> DataFrame:
+    """One row: snapshot, seed, n_requested and the cells by name (``stratum/language``), as many as were asked for."""
+    found = F.struct("query", "candidates", F.coalesce("picked", F.array().cast("array<string>")).alias("picked"))
+    entry = F.struct(F.concat_ws("/", "stratum", "language").alias("key"), found.alias("value"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if snapshot is None else F.lit(snapshot) if isinstance(snapshot, str) else snapshot
+    return cells.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("cells")).select(
+        now.alias("snapshot"), F.lit(seed).alias("seed"), F.lit(n_requested).alias("n_requested"), "cells")
+
+
+def write_corpus(chosen: DataFrame, cells: DataFrame, path: str, seed: int, n_requested: int, snapshot: str | None = None) -> None:
+    """The corpus at ``path/corpus`` with what it holds already, and ``path/meta``; both take the place of what was there.
+
+    The header comes first, then the kept lines in their order, then the pinned picks (repo, sha, stratum, language) by
+    stratum, language and name.
+    """
+    spark = chosen.sparkSession
+    lines, meta = Folder(spark, f"{path}/corpus"), Folder(spark, f"{path}/meta")
+    place = lambda part, *names: F.struct(F.lit(part).alias("part"), *[c.alias(f"k{i}") for i, c in enumerate(names)])
+    blank, zero = F.lit(""), F.lit(0)
+    new = chosen.select(place(2, F.concat_ws(" ", "stratum", "language", "repo"), zero).alias("place"), F.format_string(LINE, "repo", "sha", "stratum", "language").alias("value"))
+    every = spark.createDataFrame([(HEADER,)], "value string").select(place(0, blank, zero).alias("place"), "value").unionByName(new)
+    if lines.exists():
+        old = kept_lines(spark, lines.path).select(place(1, F.col("place.file"), F.col("place.line")).alias("place"), "value")
+        every = every.unionByName(old)
+    lines.replace(lambda stage: in_order(every, ["place"]).select("value").write.text(stage))
+    meta.replace(lambda stage: corpus_meta(cells, seed, n_requested, snapshot).write.json(stage))
+
+
 def parse_git_log(log: DataFrame, keys: Sequence[str] = schemas.GRAPH_KEY) -> DataFrame:
     """(keys, commit, path, age) from exported ``log --name-only`` text, newest first.
 

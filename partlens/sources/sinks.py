@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -68,3 +69,59 @@ def overlay_hash(files: DataFrame) -> DataFrame:
     line = F.struct(F.col("path"), F.concat(F.sha2("content", 256), F.lit("  "), F.col("path"), F.lit("\n")).alias("line"))
     listing = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "")
     return files.agg(F.substring(F.sha2(listing, 256), 1, 12).alias("overlay_hash"))
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
+    """The rows dealt by range and sorted in place, so the parts of what is written are in order, too."""
+    return df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+
+
+def write_ordered(df: DataFrame, order: Sequence[str | Column], path: str, parts: int | None = None) -> None:
+    """Parquet whose files, by name, and rows in them are in ``order``; no task sorts more than its range."""
+    in_order(df, order, parts).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """What ``write_ordered`` wrote, with the 0-based place of every row in the order: rows of the files before, and place in the file."""
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    counts = placed.groupBy("__file").agg(F.count("*").alias("__n"))  # as many rows as files
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(offsets, "__file").select(*rows.columns, (F.col("__before") + F.col("__row")).alias(name))
+
+
+class Folder:
+    """A folder of the cluster's store that is replaced as a whole, also by what was read from it.
+
+    The new content is written beside it and takes its place by two renames. One that broke off between them
+    is put back by the next use, so readers find the old folder or the new one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.path = path.rstrip("/")
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._old = f"{self.path}.replaced"
+
+    def _at(self, path: str):
+        return self._path(path)
+
+    def exists(self) -> bool:
+        """Whether there is a folder, after putting back one whose replacement broke off."""
+        here, old = self._store.exists(self._at(self.path)), self._store.exists(self._at(self._old))
+        if old and here:
+            self._store.delete(self._at(self._old), True)
+        elif old:
+            self._store.rename(self._at(self._old), self._at(self.path))
+        return here or old
+
+    def replace(self, write: Callable[[str], None]) -> None:
+        """``write`` gets the path of a staging folder to fill; it may read this one meanwhile."""
+        there, stage = self.exists(), f"{self.path}.stage-{uuid.uuid4().hex}"
+        write(stage)
+        if there:
+            self._store.rename(self._at(self.path), self._at(self._old))
+        self._store.rename(self._at(stage), self._at(self.path))
+        self._store.delete(self._at(self._old), True)
