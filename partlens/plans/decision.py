@@ -107,16 +107,15 @@ def human_agreement(rows: DataFrame, ranking: DataFrame) -> DataFrame:
     """
     both = ranking.select("rank", F.col("name").alias("repo")).join(rows.select("repo", "gain", "cochange"), "repo")
     both = materialize(both)
-    gain = inference.spearman(both, "rank", "gain", "rank").select((-F.col("rho")).alias("rho_gain"))
     full = both.where(F.col("cochange").isNotNull())
-    counts = both.agg(F.count_if(F.col("cochange").isNull()) == 0).first()[0]
-    out = gain.withColumn("passed", F.coalesce(F.col("rho_gain") >= 0.5, F.lit(False)))
-    if not counts:
-        return out.withColumns({"rho_cochange": F.lit(None).cast("double"), "rho_gain_cochange": F.lit(None).cast("double")})
+    gain = inference.spearman(both, "rank", "gain", "rank").select((-F.col("rho")).alias("rho_gain"))
     co = inference.spearman(full, "rank", "cochange", "rank").select((-F.col("rho")).alias("rho_cochange"))
     cross = inference.spearman(full, "gain", "cochange", "rank").select(F.col("rho").alias("rho_gain_cochange"))
-    merged = out.unionByName(co, True).unionByName(cross, True)
-    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+    merged = gain.unionByName(co, True).unionByName(cross, True)
+    # co-change counts only if every ranked repository has one
+    whole = both.agg(F.count_if(F.col("cochange").isNull()) == 0).scalar()
+    out = merged.agg(F.max("rho_gain").alias("rho_gain"), *[F.when(whole, F.max(c)).alias(c) for c in ("rho_cochange", "rho_gain_cochange")])
+    return out.select("rho_gain", F.coalesce(F.col("rho_gain") >= 0.5, F.lit(False)).alias("passed"), "rho_cochange", "rho_gain_cochange")
 
 
 def pilot_report(scores: DataFrame, manifests: DataFrame, ranking: DataFrame | None = None,

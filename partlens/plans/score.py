@@ -130,7 +130,9 @@ def _cochange(commits: DataFrame, scored: DataFrame, proposal: DataFrame) -> Dat
 
 def _gold(gold: DataFrame, owner: DataFrame, runs: DataFrame) -> DataFrame:
     first = owner.select(*RK, F.col("path").alias("item"), F.col("unit").alias("community"))
-    truth = contracts.last_wins(gold, ["repo", "path"], "unit", "unit").select("repo", F.col("path").alias("item"), F.col("unit").alias("community"))
+    # without places of listings, the unit's name decides
+    last = "pos" if "pos" in gold.columns else "unit"
+    truth = contracts.last_wins(gold, ["repo", "path"], "unit", last).select("repo", F.col("path").alias("item"), F.col("unit").alias("community"))
     second = runs.select(*RK).join(truth, "repo")
     found = agreement.agreement(agreement.contingency(first, second, RK), RK)
     return found.select(*RK, F.col("ari").alias("gold_ari"), F.col("nmi").alias("gold_nmi"))

@@ -55,17 +55,21 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, root: str) -> DataFrame:
-    """Human partitions ``<root>/<repo>.json`` as (repo, path, unit); none is an empty table."""
+    """Human partitions ``<root>/<repo>.json`` as (repo, path, unit, pos); none is an empty table.
+
+    ``pos`` orders the listings of a file: of a path listed twice the last one counts.
+    """
     try:
         raw = spark.read.text(f"{root}/*.json", wholetext=True)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], "repo string, path string, unit string")
+        return spark.createDataFrame([], "repo string, path string, unit string, pos struct<unit: int, file: int>")
     parsed = F.from_json("value", "units array<struct<name string, files array<string>>>")["units"]
     return (
-        raw.select(stem("_metadata.file_path").alias("repo"), F.explode(parsed).alias("u"))
-        .select("repo", F.explode("u.files").alias("path"), F.col("u.name").alias("unit"))
+        raw.select(stem("_metadata.file_path").alias("repo"), F.posexplode(parsed).alias("i", "u"))
+        .select("repo", "i", F.posexplode("u.files").alias("j", "path"), F.col("u.name").alias("unit"))
+        .select("repo", "path", "unit", F.struct(F.col("i").alias("unit"), F.col("j").alias("file")).alias("pos"))
     )
 
 

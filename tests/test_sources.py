@@ -8,7 +8,7 @@ from partlens import schemas
 from partlens.functions import expressions as E
 from partlens.functions import labels as L
 from partlens.operators import contracts, diff
-from partlens.plans import decision
+from partlens.plans import decision, score
 from partlens.sources import corpus as K
 from partlens.sources import runs as R
 from partlens.sources import sinks
@@ -38,8 +38,13 @@ def test_corpus_holdout_and_slots(corpus):
 
 def test_gold(spark, tmp_path):
     assert K.read_gold(spark, str(tmp_path)).count() == 0
-    (tmp_path / "one.json").write_text('{"units": [{"name": "u", "files": ["a", "b"]}]}')
-    assert rows(K.read_gold(spark, str(tmp_path))) == [("one", "a", "u"), ("one", "b", "u")]
+    (tmp_path / "one.json").write_text('{"units": [{"name": "u", "files": ["a", "b"]}, {"name": "a_later", "files": ["b"]}]}')
+    gold = K.read_gold(spark, str(tmp_path))
+    assert rows(gold, "repo", "path", "unit") == [("one", "a", "u"), ("one", "b", "a_later"), ("one", "b", "u")]
+    owner = spark.createDataFrame([("one", "s", "l", "0", p, u) for p, u in (("a", "x"), ("b", "y"))], "repo string, sha string, label string, rep string, path string, unit string")
+    runs = owner.select("repo", "sha", "label", "rep").distinct()
+    # b belongs to the unit that lists it last, so both partitions are of single files
+    assert score._gold(gold, owner, runs).first().gold_ari == 1.0 and score._gold(gold, owner, runs).first().gold_nmi == 1.0
 
 
 def test_git_log_and_strata(spark):
