@@ -15,7 +15,8 @@ of one perspective, never a whole conversation.
 
 Defined cases: a null role speaks as ``unknown``; null texts are empty; a conversation with
 system turns only has no perspective; turns are ordered by turn, role and text (nulls
-first); repeated rows are turns of their own; an empty table gives no rows.
+first); repeated rows are turns of their own; a text of any length is one turn of its segment; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ with a third of all rows thus reaches the shuffle as one row per task.
 
 Texts are equal when equal after deleting ASCII white space; null counts as empty. The row
 with most code points stays, then the smallest doc_id (null ids last). Repeated rows count
-one by one; an empty table gives an empty result; extra columns are ignored by ``owners``.
+one by one; a text of any length is one string of its trie; an empty table gives an empty result; extra columns are ignored by ``owners``.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Shingles and sets are told apart by 64-bit hashes. Joins to texts are merges at
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; null doc_ids are the largest; rows equal in doc_id and
-text are one document; extra columns are kept by ``one_of_each`` and ignored by ``classes``.
+text are one document; a text of any length is one set, whose shingles are rows; an empty table
+gives no rows; extra columns are kept by ``one_of_each`` and ignored by ``classes``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ run of up to half a block lies in one, whatever lines it spans. The templates ar
 list, so the index and the counts of its words are bounded whatever the corpus.
 
 Defined cases: a null or empty text has no words and no labels; repeated rows are scanned one
-by one; an empty table gives no rows; extra columns are ignored.
+by one; a text of any length is scanned whole, in its blocks; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +184,8 @@ tokens AS (SELECT r, regexp_extract_all(text, '{word}') AS w FROM texts),
 places AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM tokens),
 hits AS (SELECT r, i, label FROM places JOIN phrases ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
-line_words AS (SELECT r, regexp_extract_all(line, '{word}') AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)),
+line_words AS (SELECT r, regexp_extract_all(line, '{word}') AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)
+  UNION ALL SELECT r, w FROM tokens),
 text_blocks AS (SELECT r, list_distinct(w[s + 1:s + {BLOCK}]) AS b FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {half}, 1), {half})) AS s FROM line_words)),
 near AS (SELECT r, label, len(list_intersect(b, ws)) / len(ws) AS contained FROM text_blocks JOIN templates ON len(list_intersect(b, ws)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)),
 all_labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM near UNION ALL SELECT r, label FROM hits) GROUP BY r),

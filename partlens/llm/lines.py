@@ -11,7 +11,8 @@ up have one row a key and are written, so AQE can split a line that a third of a
 
 Runs are told apart by 128 bits of two hashes. Defined cases: a null text has no lines and
 stays null; runs of blank lines only are left; rows equal in doc_id and text are one document
-and are treated alike; null doc_ids come last in the order; extra columns are kept.
+and are treated alike; null doc_ids come last in the order; a text of any length gives a row a line; an
+empty table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations

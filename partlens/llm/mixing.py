@@ -22,7 +22,8 @@ the dictionary are rows joined to the counts. Tokens and contexts are told apart
 
 Defined cases: a null or empty text is its end; a null doc_id counts as the empty string and is
 held out; repeated rows are trained on and scored one by one; without training texts
-all tables are empty and scores are those of uniform tables; extra columns are ignored.
+all tables are empty and scores are those of uniform tables; a text of any length is scored to its end; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

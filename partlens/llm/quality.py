@@ -11,7 +11,8 @@ languages that of all documents. The fences are then joined to the documents.
 
 Defined cases: a null or blank text has no words and fails the base rules; null languages
 and sources are groups like others; repeated rows are measured one by one; an empty table
-gives an empty result; extra columns are kept by ``filter_documents`` and ignored by ``judge``.
+gives an empty result; a text of any length is measured whole in its row; extra columns are kept by
+``filter_documents`` and ignored by ``judge``; columns named ``__m`` or ``__fence`` must not be there already.
 """
 
 from __future__ import annotations
