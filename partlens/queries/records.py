@@ -158,10 +158,13 @@ def json_defaults(t: Tables) -> DataFrame:
 @query("field_diff", """
 WITH r AS (SELECT *, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders),
 o AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority,
-    arg_max(o_totalprice > 250000, (o_orderdate, o_orderkey)) AS large FROM r WHERE early GROUP BY 1),
+    arg_max(o_totalprice > 250000, (o_orderdate, o_orderkey)) AS large, month(max(o_orderdate)) AS month, arg_max(floor(o_totalprice), (o_orderdate, o_orderkey)) AS price
+  FROM r WHERE early GROUP BY 1),
 n AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority,
-    arg_max(o_totalprice > 250000, (o_orderdate, o_orderkey)) AS large FROM r WHERE NOT early GROUP BY 1),
+    arg_max(o_totalprice > 250000, (o_orderdate, o_orderkey)) AS large, month(max(o_orderdate)) AS month, arg_max(floor(o_totalprice), (o_orderdate, o_orderkey)) AS price
+  FROM r WHERE NOT early GROUP BY 1),
 d AS (SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, list_filter([CASE WHEN o.large IS DISTINCT FROM n.large THEN 'large' END,
+    CASE WHEN o.month IS DISTINCT FROM n.month THEN 'month' END, CASE WHEN o.price IS DISTINCT FROM n.price THEN 'price' END,
     CASE WHEN o.priority IS DISTINCT FROM n.priority THEN 'priority' END, CASE WHEN o.status IS DISTINCT FROM n.status THEN 'status' END], lambda x: x IS NOT NULL) AS names
   FROM o FULL JOIN n ON o.o_custkey = n.o_custkey)
 SELECT o_custkey, len(names)::INT AS n_changed, array_to_string(names[1:4], ',') AS shown, greatest(len(names) - 4, 0)::INT AS more FROM d""")
@@ -173,7 +176,8 @@ def field_diff(t: Tables) -> DataFrame:
     def last(df: DataFrame) -> DataFrame:
         return df.groupBy("o_custkey").agg(
             F.max_by("o_orderstatus", when).alias("status"), F.max_by("o_orderpriority", when).alias("priority"),
-            F.max_by(F.col("o_totalprice") > 250000, when).alias("large"))
+            F.max_by(F.col("o_totalprice") > 250000, when).alias("large"), F.month(F.max("o_orderdate")).alias("month"),
+            F.max_by(F.floor("o_totalprice"), when).alias("price"))
 
     out = diff.diff_summary(last(t.orders.where(early)), last(t.orders.where(~early)), ["o_custkey"])
     return out.withColumn("shown", F.array_join("shown", ","))

@@ -44,6 +44,35 @@ def run_records(t: Tables) -> DataFrame:
              F.lit(None).cast("int").alias("has_claude_md"), F.lit(None).cast("string").alias("condition"))
 
 
+def full_run_records(t: Tables) -> DataFrame:
+    """Run records with the columns that ``run_records`` leaves empty; some runs lack some of them."""
+    lines = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    rep, null = F.col("l_linenumber"), F.lit(None)
+    wide = (F.col("l_discount") > 0.09) & (F.col("l_tax") > 0.07)
+    return lines.groupBy(F.col("n_name").alias("repo"), rep.alias("rep")).agg(
+        F.avg(F.when(F.col("l_linestatus") == "O", F.col("l_discount"))).alias("q_cochange_gain"), F.max(F.when(F.col("l_quantity") >= 50, F.col("l_tax"))).alias("gold_ari"),
+        F.min("l_discount").alias("edge_resolution"), F.max(F.when(wide, F.col("l_tax"))).alias("entrypoint_r"), F.avg(F.when(F.col("l_returnflag") == "A", F.col("l_tax"))).alias("effects_r"),
+        (F.max("l_quantity") >= 50).alias("budget_exhausted"), F.count("*").alias("input_tokens"),
+    ).withColumns({
+        "has_claude_md": F.when(F.col("rep") == 7, 1), "condition": F.when(F.col("rep") >= 3, F.concat(F.lit("c"), F.col("rep"))), "stratum": null.cast("string"),
+        **{c: null.cast("double") for c in ("q_gain_dir", "coverage", "contract_r", "cost_usd")}, "n_units": null.cast("int"), "valid_nontrivial": null.cast("boolean"),
+        "output_tokens": F.when(F.col("rep") == 1, F.lit(100))})
+
+
+@query("repo_summary_rest", """
+WITH runs AS (SELECT n_name AS repo, l_linenumber AS rep, avg(l_discount) FILTER (l_linestatus = 'O') AS cochange, max(l_tax) FILTER (l_quantity >= 50) AS gold, min(l_discount) AS edge,
+    max(l_tax) FILTER (l_discount > 0.09 AND l_tax > 0.07) AS ep, avg(l_tax) FILTER (l_returnflag = 'A') AS ef, max(l_quantity) >= 50 AS out_of, count(*) AS tokens
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT repo, round(avg(cochange), 6) AS cochange, round(avg(gold), 6) AS gold, round(avg(edge), 6) AS edge, round(avg(ep), 6) AS ep_r, round(avg(ef), 6) AS ef_r,
+  sum(out_of::INT) AS exhausted, max(rep) = 7 AS md, coalesce('c' || min(rep) FILTER (rep >= 3), 'skill') AS cond, 'unknown' AS stratum, 0.0::DOUBLE AS cost,
+  round((sum(tokens) + 100 * count(*) FILTER (rep = 1)) / count(*), 4) AS tokens FROM runs GROUP BY 1""")
+def repo_summary_rest(t: Tables) -> DataFrame:
+    """The columns of a summary that ``repo_summary`` has no values for, and the defaults of absent ones."""
+    out = S.summarise_runs(full_run_records(t))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return out.select("repo", r("cochange", 6), r("gold", 6), r("edge", 6), r("ep_r", 6), r("ef_r", 6), "exhausted", "md", "cond", "stratum", "cost", r("tokens", 4))
+
+
 @query("repo_summary", _RUNS + """
 SELECT repo, n, round(valid, 6) AS valid, round(gain, 6) AS gain, round(coverage, 6) AS coverage, round(contract, 6) AS contract,
   round(units, 4) AS units, round(cost, 2) AS cost, round(tokens, 4) AS tokens, stratum, 'skill' AS cond, false AS md FROM rows_""")
