@@ -5,14 +5,15 @@ already below the base rules feeds a mergeable quantile sketch per language and
 a histogram whose bins are exact up to 63 and 1/32 of the value wide above, so it has at
 most about 1,900 bins whatever the input, merges by adding counts and does not depend on
 the order of rows. A group's fences lie ``WIDTH`` spreads from its median, the spread being
-the distance from the lower decile to the median and at least a stated one. Groups with
-fewer than ``MIN_DOCUMENTS`` documents use the merged sketch of their language, and small
-languages that of all documents. The fences are then joined to the documents.
+the distance from the median to the outer percentile (99th above, 1st below) on the side of the fence.
+Median and percentiles of a group are shrunk towards those of its language as if ``SHRINKAGE`` documents
+of the language were added to it, and a language's towards those of all documents, so no group
+switches from one fence to another as it grows. The fences are then joined to the documents.
 
 Defined cases: a null or blank text has no words and fails the base rules; null languages
 and sources are groups like others; repeated rows are measured one by one; an empty table
 gives an empty result; a text of any length is measured whole in its row; extra columns are kept by
-``filter_documents`` and ignored by ``judge``; columns named ``__m`` or ``__fence`` must not be there already.
+``filter_documents``, whatever their names, and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import SPACE_CLASS, SPACES, join_counted, let, same, words
+from .tables import written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-WIDTH = 4
-MIN_DOCUMENTS = 100
+WIDTH = 2
+SHRINKAGE = 200
+MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
+LEVELS = (1, 50, 99)
 
-#: Least spread of each measure, in its unit: hundredths of a character a word, and thousandths.
-SPREADS = {"word_length": 100, "symbols": 50, "dup_lines": 100, "repeats": 50}
+#: Least spread, against rounding only: what one count more makes of a text of a hundred words.
+ROUNDING = 10
 
 
 def measures(text: Column) -> Column:
@@ -105,40 +109,45 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def _quantiles(bins: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Documents, lower decile and median of each measure; a window holds the bins of one sketch only."""
+    """Documents and percentiles of each measure; a window holds the bins of one sketch only."""
     running = Window.partitionBy(*keys, "measure").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys, "measure")
     ranked = bins.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(whole))
 
     def at(name: str, q: int) -> Column:
-        return F.min(F.when((F.col("measure") == name) & (10 * F.col("upto") >= q * F.col("all")), F.col("bin")))
+        return F.min(F.when((F.col("measure") == name) & (100 * F.col("upto") >= q * F.col("all")), F.col("bin")))
 
     return ranked.groupBy(*keys).agg(F.struct(
-        F.max("all").alias("n"), *[at(k, q).alias(f"{k}_{q}") for k in SPREADS for q in (1, 5)]).alias(prefix))
+        F.max("all").alias("n"), *[at(k, q).alias(f"{k}_{q}") for k in MEASURES for q in LEVELS]).alias(prefix))
+
+
+def _shrunk(own: Column, towards: Column) -> Column:
+    """Percentiles of a group with ``SHRINKAGE`` documents of a wider group added, in whole numbers."""
+    names = [f"{k}_{q}" for k in MEASURES for q in LEVELS]
+    return F.struct(*[F.call_function("div", own["n"] * own[k] + SHRINKAGE * towards[k], own["n"] + SHRINKAGE).alias(k) for k in names])
 
 
 def thresholds(bins: DataFrame) -> DataFrame:
-    """Fences per language and source: word_length_low and word_length_high, symbols, dup_lines, repeats."""
+    """Fences per language and source: word_length_low, and word_length_high, symbols_high, dup_lines_high, repeats_high."""
     by_source = _quantiles(bins, ["lang", "source"], "own")
     by_lang = _quantiles(bins.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")), ["lang"], "of_lang")
     overall = _quantiles(bins.groupBy("measure", "bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"], "of_all")
+    by_lang = by_lang.select("lang", _shrunk(F.col("of_lang"), overall.select("of_all").scalar()).alias("of_lang"))
     joined = by_source.join(by_lang, same(by_source, by_lang, ["lang"]), "left").drop(by_lang["lang"])
-    pick = F.when(F.col("own.n") >= MIN_DOCUMENTS, F.col("own")).when(F.col("of_lang.n") >= MIN_DOCUMENTS, F.col("of_lang")).otherwise(overall.select("of_all").scalar())
-    chosen = joined.select("lang", "source", pick.alias("q"))
+    chosen = joined.select("lang", "source", _shrunk(F.col("own"), F.col("of_lang")).alias("q"))
 
-    def reach(k: str) -> Column:
-        return WIDTH * F.greatest(F.col("q")[f"{k}_5"] - F.col("q")[f"{k}_1"], F.lit(SPREADS[k]))
+    def fence(k: str, q: int) -> Column:
+        median, outer = F.col("q")[f"{k}_50"], F.col("q")[f"{k}_{q}"]
+        spread = WIDTH * F.greatest(F.abs(outer - median), F.lit(ROUNDING))
+        return median + spread if q > 50 else median - spread
 
-    return chosen.select(
-        "lang", "source", (F.col("q")["word_length_5"] - reach("word_length")).alias("word_length_low"),
-        *[(F.col("q")[f"{k}_5"] + reach(k)).alias(f"{k}_high") for k in SPREADS],
-    )
+    return chosen.select("lang", "source", fence("word_length", 1).alias("word_length_low"), *[fence(k, 99).alias(f"{k}_high") for k in MEASURES])
 
 
 def _verdict(m: Column, fence: Column) -> Column:
     v = _values(m)
     inside = fence["word_length_low"] <= v["word_length"]
-    for k in SPREADS:
+    for k in MEASURES:
         inside = inside & (v[k] <= fence[f"{k}_high"])
     return F.coalesce(~base_failed(m) & inside, F.lit(False))
 
@@ -166,19 +175,28 @@ def judge(documents: DataFrame) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns; texts are not shuffled."""
-    columns = documents.columns
-    fence = fences(documents.select("lang", "source", measures(F.col("text")).alias("m")))
-    judged = _with_verdict(documents.withColumn("__m", measures(F.col("text"))), fence, "__m")
-    return judged.where("__kept").select(*columns)
+    """The documents that the rules keep, with all their columns.
+
+    Texts are measured once: rows and measures are written, of which the sketch reads the measures only; texts are not shuffled.
+    """
+    rows = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    measured = written(documents.select(rows.alias("document"), measures(F.col("text")).alias("m")))
+    keyed = measured.select("document", "m", "document.lang", "document.source")
+    judged = _with_verdict(keyed, fences(keyed.select("lang", "source", "m")), "m")
+    return judged.where("__kept").select("document.*")
+
+
+_NAMES = [f"{k}_{q}" for k in MEASURES for q in LEVELS]
+_FENCE_SQL = " ".join(f"{k}_50 + {WIDTH} * greatest({k}_99 - {k}_50, {ROUNDING}) AS {k}_high," for k in MEASURES)
+_INSIDE_SQL = " AND ".join(f"{k} <= {k}_high" for k in MEASURES)
 
 
-_FENCE_SQL = " ".join(f"q.{k}_5 + {WIDTH} * greatest(q.{k}_5 - q.{k}_1, {s}) AS {k}_high," for k, s in SPREADS.items())
-_INSIDE_SQL = " AND ".join(f"{k} <= {k}_high" for k in SPREADS)
+def _shrunk_sql(own: str, towards: str) -> str:
+    return ", ".join(f"({own}.n * {own}.{k} + {SHRINKAGE} * {towards}.{k}) // ({own}.n + {SHRINKAGE}) AS {k}" for k in _NAMES)
 
 
 def _levels_sql(name: str, source: str, keys: str) -> str:
-    at = ", ".join(f"min(bin) FILTER (measure = '{k}' AND 10 * upto >= {q} * total) AS {k}_{q}" for k in SPREADS for q in (1, 5))
+    at = ", ".join(f"min(bin) FILTER (measure = '{k}' AND 100 * upto >= {q} * total) AS {k}_{q}" for k in MEASURES for q in LEVELS)
     comma, partition = (f"{keys}, ", f"{keys}, measure") if keys else ("", "measure")
     group = f"GROUP BY {keys}" if keys else ""
     return f"""{name} AS (SELECT {comma}max(total) AS n, {at} FROM (
@@ -199,16 +217,14 @@ measured AS (SELECT doc_id, lang, source, text, len(w)::BIGINT AS n_words, lengt
 scored AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 100 * word_chars // greatest(n_words, 1) AS word_length,
   1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM measured),
 valued AS (SELECT lang, source, measure, v, greatest(length(bin(v)) - 6, 0)::BIGINT AS s FROM (
-  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM scored WHERE NOT base_failed" for k in SPREADS)})),
+  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM scored WHERE NOT base_failed" for k in MEASURES)})),
 bins AS (SELECT lang, source, measure, ((v >> s) + 1 << s) - 1 AS bin, count(*) AS n FROM valued GROUP BY ALL),
 {_levels_sql("own", "bins", "lang, source")},
 {_levels_sql("of_lang", "bins", "lang")},
 {_levels_sql("of_all", "bins", "")},
-picked AS (SELECT own.lang, own.source, CASE WHEN own.n >= {MIN_DOCUMENTS} THEN struct_pack({", ".join(f"{k}_{q} := own.{k}_{q}" for k in SPREADS for q in (1, 5))})
-  WHEN of_lang.n >= {MIN_DOCUMENTS} THEN struct_pack({", ".join(f"{k}_{q} := of_lang.{k}_{q}" for k in SPREADS for q in (1, 5))})
-  ELSE struct_pack({", ".join(f"{k}_{q} := of_all.{k}_{q}" for k in SPREADS for q in (1, 5))}) END AS q
-  FROM own LEFT JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang CROSS JOIN of_all),
-fences AS (SELECT lang, source, {_FENCE_SQL} q.word_length_5 - {WIDTH} * greatest(q.word_length_5 - q.word_length_1, {SPREADS["word_length"]}) AS word_length_low FROM picked),
+shrunk_lang AS (SELECT of_lang.lang, {_shrunk_sql("of_lang", "of_all")} FROM of_lang CROSS JOIN of_all),
+picked AS (SELECT own.lang, own.source, {_shrunk_sql("own", "shrunk_lang")} FROM own LEFT JOIN shrunk_lang ON own.lang IS NOT DISTINCT FROM shrunk_lang.lang),
+fences AS (SELECT lang, source, {_FENCE_SQL} word_length_50 - {WIDTH} * greatest(word_length_50 - word_length_1, {ROUNDING}) AS word_length_low FROM picked),
 judged AS (SELECT scored.*, coalesce(NOT base_failed AND word_length >= word_length_low AND {_INSIDE_SQL}, false) AS kept
   FROM scored LEFT JOIN fences ON scored.lang IS NOT DISTINCT FROM fences.lang AND scored.source IS NOT DISTINCT FROM fences.source)
 """
