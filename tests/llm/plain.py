@@ -49,18 +49,19 @@ def repeated_strings(bodies: list[bytes], span: int = 400) -> list[tuple[int, in
     return out
 
 
-def line_dedup(texts: list[tuple], run: int = 2) -> dict:
+def line_dedup(texts: list[tuple], run: int = 2, lone: int = 100) -> dict:
     """Remaining lines by key, for (key, text) in order."""
     seen, gone = set(), defaultdict(set)
     for key, text in texts:
         lines = text.split("\n") if text is not None else []
-        for i in range(len(lines) - run + 1):
-            part = tuple(lines[i:i + run])
-            if not any(WORD.search(x) for x in part):
-                continue
-            if part in seen:
-                gone[key].update(range(i, i + run))
-            seen.add(part)
+        for size in (run, 1):
+            for i in range(len(lines) - size + 1):
+                part = tuple(lines[i:i + size])
+                if sum(len("".join(WORD.findall(x))) for x in part) < (1 if size == run else lone):
+                    continue
+                if part in seen:
+                    gone[key].update(range(i, i + size))
+                seen.add(part)
     return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in texts}
 
 

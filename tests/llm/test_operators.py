@@ -84,6 +84,28 @@ def test_quality_fences_follow_the_source(spark):
     assert kept == {r[0] for r in plainly + tables}  # what is usual in source b is not in source a
 
 
+def test_quality_fences_take_upper_percentiles_and_shrink(spark):
+    def fences(n):
+        few = [(i, prose(i, 60).replace(" ", " # ", i % 5), "en", "few", 0) for i in range(n)]
+        many = [(10_000 + i, prose(700 + i, 60), "en", "many", 0) for i in range(400)]
+        df = spark.createDataFrame(few + many, "doc_id long, text string, lang string, source string, n_chars long")
+        measured = df.select("lang", "source", quality.measures(df.text).alias("m"))
+        return {r.source: r for r in quality.thresholds(quality.sketch(measured)).collect()}
+
+    found = {n: fences(n) for n in (10, 99, 101, 400)}
+    highs = [found[n]["few"].symbols_high for n in (10, 99, 101, 400)]
+    assert highs[0] < min(highs[1:])  # ten documents say little against their language
+    assert abs(highs[2] - highs[1]) <= 4  # no jump at a number of documents
+    assert found[400]["many"].symbols_high < highs[-1] and found[400]["many"].repeats_high == 2 * quality.ROUNDING
+
+
+def test_quality_filter_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, prose(1, 60), "en", "a", 5, "x", None), (2, "too short", None, None, 1, "y", 3)],
+                               "doc_id long, text string, lang string, source string, m int, __fence string, document int")
+    out = quality.filter_documents(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, prose(1, 60), "en", "a", 5, "x", None)]
+
+
 def test_quality_filter_keeps_columns_and_empty_tables(docs, none):
     out = quality.filter_documents(docs)
     assert out.columns == docs.columns
@@ -343,6 +365,33 @@ def test_line_dedup(docs, none):
     assert lines.dedup_lines(none).count() == 0 and lines.digest(none).count() == 0
 
 
+def test_long_single_lines_are_deleted(spark):
+    long = prose(3, 40, 40)
+    short = "as seen before"
+    texts = {1: f"alpha\n{long}\nbeta\n{short}", 2: f"gamma\n{long}\ndelta\n{short}\n", 3: long, 4: short, 5: f"{long}\n{long}\n{short}\nomega", 6: None, 7: ""}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert got == plain.line_dedup(list(texts.items()))
+    assert got[2] == f"gamma\ndelta\n{short}\n" and got[3] == "" and got[4] == short and got[5] == f"{short}\nomega"
+
+
+def test_line_matches_grow_to_both_sides(spark):
+    body = [f"line {i}" for i in range(12)]
+    texts = {1: body, 2: ["x", *body[2:9], "y", *body[7:12]], 3: ["z", *body[2:9]], 4: body[:1]}
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.lines, r.first_doc_id, r.first_start) for r in lines.matches(df).collect()}
+    assert got == {(2, 1, 7, 1, 2), (2, 9, 5, 1, 7), (3, 1, 7, 1, 2)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_of_drawn_texts(spark, seed):
+    r = random.Random(seed)
+    pool = ["", " ", "a", "b", "c", "x" * 100, "y " * 99, "z " * 100]
+    texts = {k: "\n".join(r.choices(pool, k=r.randint(1, 9))) for k in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.text for x in lines.dedup_lines(df).collect()} == plain.line_dedup(list(texts.items()))
+
+
 # --- chat formatting
 
 def test_chat_rotation(spark):
