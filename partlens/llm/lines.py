@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, let
-from .tables import written
+from .tables import drop, written
 
 RUN = 2
 LONE = 100
@@ -57,7 +57,8 @@ def matches(documents: DataFrame) -> DataFrame:
     # a fingerprint that several runs of one document select at one place has one place
     spot = F.xxhash64("doc_id", "text_hash", "place")
     shared = written(runs.groupBy("chosen").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("chosen"))
-    found = runs.join(shared, "chosen", "left_semi")
+    found = written(runs.join(shared, "chosen", "left_semi").drop("chosen", "place"))
+    drop(shared)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "s")
     first = written(found.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     later = found.join(first, ["n", "a", "b"]).where(place != F.col("first"))
