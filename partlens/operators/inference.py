@@ -212,14 +212,19 @@ def icc1(values: DataFrame, group: str | Sequence[str], value: str = "value", ke
     group = [group] if isinstance(group, str) else list(group)
     per_group = (
         values.where(F.col(value).isNotNull()).groupBy(*keys, *group)
-        .agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+        # a sum of many equal values over their count need not be the value; its error grows with the group
+        .agg(F.count(value).alias("n"), F.when(F.min(value) == F.max(value), F.min(value).cast("double")).otherwise(F.avg(value)).alias("m"),
+             F.var_pop(value).alias("v"))
         .where(F.col("n") >= 2)
     )
     per_group = materialize(per_group)
     n, m = F.col("n").cast("double"), F.col("m")
-    grand = per_group.groupBy(*keys).agg((F.sum(n * m) / F.sum(n)).alias("grand"))
-    centred = per_group.join(grand, keys) if keys else per_group.withColumn("grand", grand.select("grand").scalar())
-    off = m - F.col("grand")
+    # means are taken from the least of them, so that equal ones are off by nothing
+    with_key = lambda df, facts: df.join(facts, keys) if keys else df.crossJoin(F.broadcast(facts))
+    centred = with_key(per_group, per_group.groupBy(*keys).agg(F.min(m).alias("least")))
+    centred = with_key(centred, centred.groupBy(*keys).agg((F.sum(n * (m - F.col("least"))) / F.sum(n)).alias("above")))
+    centred = centred.withColumn("grand", F.col("least") + F.col("above"))
+    off = m - F.col("least") - F.col("above")
     sums = centred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_groups"), F.avg(n).alias("size"), F.sum(n).alias("total"),
         F.sum(n * off * off).alias("sb"), F.sum(n * F.col("v")).alias("sw"), F.first("grand").alias("grand"),
