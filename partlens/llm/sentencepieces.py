@@ -13,10 +13,10 @@ grouped by word and folded with the higher-order ``aggregate``:
   piece from the left, again and again, so they come last, leftmost and longest first.
 
 Characters without a piece become their bytes' pieces. Frequent words, at most ``DICTIONARY``,
-are encoded once and their ids go to all tasks. Texts are shuffled once, by row; all other words
-are exploded, encoded by the same lattice and gathered per text in the partitions that shuffle made,
-and the text is put together from both. Words longer than ``FOLDED`` characters are joined from the same sorted edges
-in place, as arrays would be copied for every join.
+are counted and encoded as rows, once, and their ids go to all tasks. A task that meets another word
+folds its lattice in the same order where it is, marking ends in place, so texts are neither shuffled nor
+taken apart into rows: what is written is counts and dictionary, whatever the texts' size. Dictionary words longer than ``FOLDED``
+characters are joined from the same sorted edges in place, as arrays would be copied for every join.
 
 Defined cases: null and empty texts have no ids; rows with equal texts are encoded alike; extra
 columns are ignored.
@@ -25,10 +25,12 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,7 @@ from .tables import written
 BLANK = "▁"
 DICTIONARY = 300_000
 FOLDED = 128
+KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -176,41 +179,45 @@ def encode_words(words: DataFrame, table: Table, long: bool = False) -> DataFram
     return edges.withColumn("cuts", cuts).select(*words.columns, ids.alias("ids"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     return slices(batches, "body", limit)
 
 
-def _blank_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _blank_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Different words between single blanks, the word at each place, where texts begin, and which texts must be read otherwise."""
     odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
     odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begin, odd
+    return coded.dictionary, coded.indices.to_numpy(), begin, odd
 
 
 def _count(table: Table):
     """Words a task meets at least twice, with how often: all that could be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()  # the dictionary of a query before this one
         counts: Counter = Counter()
+        plain: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
+            for word, n in plain.items():
+                for part in table.words(word):
+                    counts[part] += n
             often = {w: n for w, n in counts.items() if n > 1}
             counts.clear()
+            plain.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
 
         for batch in _slices(batches):
             words, places, begin, odd = _blank_words(batch.column("body"))
-            plain = ~np.repeat(odd, np.diff(begin))
-            for word, n in zip(words, np.bincount(places[plain], minlength=len(words)).tolist()):
+            for word, n in zip(words.to_pylist(), np.bincount(places[~np.repeat(odd, np.diff(begin))], minlength=len(words)).tolist()):
                 if n:
-                    for part in table.words(word):
-                        counts[part] += n
+                    plain[word] += n
             for row in np.flatnonzero(odd).tolist():
                 counts.update(table.words(batch.column("body")[row].as_py()))
-            if len(counts) > 500_000:
+            if len(counts) + len(plain) > 300_000:
                 yield flush()
         yield flush()
 
@@ -227,15 +234,144 @@ def _frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-#: Dictionaries of this Python worker by their id; the last one stays.
-_loaded: dict[str, dict] = {}
-
-
-def _dictionary(key: str, packed) -> dict[str, bytes]:
+def local_fold(table: Table) -> Callable[[str], bytes]:
+    """A function that folds the lattice of one word: its packed ids, the same as those of ``encode_words``."""
+    order = {cost: i for i, cost in enumerate(sorted({-s for _, _, s in table.pieces}))}
+    pieces = {p: (i, -s) for p, i, s in table.pieces}
+    # places in the order of all pieces longer than a character; -1 for what only begins a piece
+    begun = {p[:k]: -1 for p in pieces for k in range(1, len(p) + 1)}
+    begun |= {p: order[-s] for p, _, s in table.pieces if len(p) > 1}
+    unknown = max(-s for _, _, s in table.pieces) + 10.0
+    longest = table.longest
+    bits = longest.bit_length()
+    mask = (1 << bits) - 1
+    first, none, runs = table.first_byte, len(order), BLANK * 2
+
+    def merged(word: str) -> list[int]:
+        n, found = len(word), array("q")
+        for s in range(n - 1):
+            for e in range(s + 1, min(s + longest, n) + 1):
+                x = begun.get(word[s:e])
+                if x is None:
+                    break
+                if x >= 0:
+                    found.append((((x << 32) + s) << bits) + mask - (e - s))
+        if n > FOLDED:
+            np.frombuffer(found, dtype=np.int64).sort()
+        there = bytearray(b"\1") * (n + 1)
+        for x in found if n > FOLDED else sorted(found):
+            s = (x >> bits) & 0xFFFFFFFF
+            size = mask - (x & mask)
+            e = s + size
+            if there[s] and there[e]:
+                if size == 2:
+                    there[s + 1] = 0
+                elif there.count(1, s + 1, e) == (1 if word[s:e].strip(BLANK) else size - 1):
+                    there[s + 1:e] = bytes(size - 1)
+        return [i for i, end in enumerate(there) if end]
+
+    def symbols(word: str) -> list[str]:
+        """What the same fold leaves of a short word without a run of blanks, where only neighbours are joined."""
+        parts = list(word)
+        places = [begun.get(a + b, -1) for a, b in zip(parts, parts[1:])]
+        places = [x if x >= 0 else none for x in places]
+        while places:
+            x = min(places)
+            if x == none:
+                break
+            i = places.index(x)
+            joined = parts[i] + parts.pop(i + 1)
+            parts[i] = joined
+            del places[i]
+            if i:
+                x = begun.get(parts[i - 1] + joined, -1)
+                places[i - 1] = x if x >= 0 else none
+            if i < len(places):
+                x = begun.get(joined + parts[i + 1], -1)
+                places[i] = x if x >= 0 else none
+        return parts
+
+    def best(word: str) -> list[int]:
+        cost, back = [0.0, *[float("inf")] * len(word)], [0] * (len(word) + 1)
+        out: list[list[tuple[int, float]]] = [[(s, unknown)] for s in range(len(word))]
+        for s in range(len(word)):
+            for e in range(s + 1, min(s + longest, len(word)) + 1):
+                if word[s:e] in pieces:
+                    out[e - 1].append((s, pieces[word[s:e]][1]))
+        for e, found in enumerate(out, 1):
+            for s, c in sorted(found):
+                if cost[s] + c < cost[e]:
+                    cost[e], back[e] = cost[s] + c, s
+        path = [len(word)]
+        while path[-1]:
+            path.append(back[path[-1]])
+        return path[::-1]
+
+    def ids(word: str) -> bytes:
+        if table.kind == "bpe" and len(word) <= FOLDED and runs not in word:
+            parts = symbols(word)
+        else:
+            cuts = (best if table.kind == "unigram" else merged)(word)
+            parts = [word[s:e] for s, e in zip(cuts, cuts[1:])]
+        numbers = array("H")
+        for part in parts:
+            piece = pieces.get(part)
+            if piece:
+                numbers.append(piece[0])
+            else:
+                numbers.extend([first + b for b in part.encode()])
+        return (numbers if sys.byteorder == "little" else numbers.byteswap() or numbers).tobytes()
+
+    return ids
+
+
+class Encoder:
+    """Packed ids of texts: dictionary words are looked up in Arrow, others folded as they are met; at most ``KEPT`` of them stay."""
+
+    def __init__(self, known: pa.Table, table: Table):
+        known = known.combine_chunks()
+        self._known, self._packed = (known.column(c).cast(t) for c, t in (("word", pa.string()), ("packed", pa.binary())))
+        self._fold, self._met, self._words = local_fold(table), {}, table.words
+
+    def _look_up(self, words: pa.Array) -> list[bytes | None]:
+        return self._packed.take(pc.index_in(words, value_set=self._known)).to_pylist() if len(self._known) else [None] * len(words)
+
+    def of_words(self, words: pa.Array) -> list[bytes]:
+        """Of texts without a blank; one that is in the dictionary as a whole is not split."""
+        found = self._look_up(pc.binary_join_element_wise("", words, BLANK))
+        others = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(others, self.of_texts(words.take(pa.array(others, pa.int64())).to_pylist())):
+            found[i] = ids
+        return found
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        parts = [self._words(text) for text in texts]
+        words = list({w for text in parts for w in text})
+        found = dict(zip(words, self._look_up(pa.array(words, pa.string()))))
+        for word in words:
+            if found[word] is None:
+                found[word] = self._rare(word)
+        return [b"".join(map(found.__getitem__, text)) for text in parts]
+
+    def _rare(self, word: str) -> bytes:
+        ids = self._met.get(word)
+        if ids is None:
+            ids = self._fold(word)
+            if len(word) <= FOLDED:
+                if len(self._met) >= KEPT:
+                    self._met.clear()
+                self._met[word] = ids
+        return ids
+
+
+#: Encoders of this Python worker by their id; the last one stays.
+_loaded: dict[str, Encoder] = {}
+
+
+def _encoder(key: str, packed, table: Table) -> Encoder:
     if key not in _loaded:
         _loaded.clear()
-        found = packed.value
-        _loaded[key] = dict(zip(found.column("word").to_pylist(), found.column("packed").to_pylist()))
+        _loaded[key] = Encoder(packed.value, table)
     return _loaded[key]
 
 
@@ -245,12 +381,16 @@ def _packed(ids: Column) -> Column:
     return F.unhex(F.array_join(digits, ""))
 
 
-def encode(documents: DataFrame, table: Table) -> DataFrame:
-    """doc_id, text (null is empty) and ids, binary of little-endian 16-bit numbers, of every document."""
+_Batches = Iterator[pa.RecordBatch]
+_ENCODED = "doc_id long, text string, ids binary"
+
+
+def encode(documents: DataFrame, table: Table, last: Callable[[_Batches], _Batches] | None = None, schema: str = _ENCODED) -> DataFrame:
+    """doc_id, text (null is empty) and ids, binary of little-endian 16-bit numbers, of every document.
+
+    ``last`` makes rows of ``schema`` of these in the same worker: a map of its own would be a second worker a task.
+    """
     body = F.coalesce("text", F.lit(""))
-    # id and text are one column, so that both readers of the shuffled rows read the same shuffle
-    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\u0000"), body)
-    texts = documents.select(F.xxhash64("doc_id", body).alias("key"), row.alias("row"))
     counts = written(documents.select(body.alias("body")).mapInArrow(_count(table), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     frequent = _frequent(counts, DICTIONARY).select("word").repartition("word")
     both = encode_words(frequent, table).union(encode_words(frequent, table, True))
@@ -258,37 +398,25 @@ def encode(documents: DataFrame, table: Table) -> DataFrame:
     shared, key = documents.sparkSession.sparkContext.broadcast(known_words.toArrow()), uuid.uuid4().hex
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _dictionary(key, shared)
+        encoder = _encoder(key, shared, table)
         for batch in _slices(batches):
-            extra = {x["word"]: x["packed"] for name in ("short", "long") for found in batch.column(name).to_pylist() for x in found or ()}
-
-            def ids_of(text: str) -> bytes:
-                return b"".join([known[w] if w in known else extra[w] for w in table.words(text)])
-
             words, places, begin, odd = _blank_words(batch.column("body"))
-            used = np.bincount(places[~np.repeat(odd, np.diff(begin))], minlength=len(words)) > 0
-            found = [ids_of(w) if u else b"" for w, u in zip(words, used.tolist())]
+            plain = ~np.repeat(odd, np.diff(begin))
+            used = np.flatnonzero(np.bincount(places[plain], minlength=len(words)))
+            found = [b""] * len(words)
+            for i, ids in zip(used.tolist(), encoder.of_words(words.take(pa.array(used)))):
+                found[i] = ids
+            rest = dict(zip(np.flatnonzero(odd).tolist(), encoder.of_texts(batch.column("body").filter(pa.array(odd)).to_pylist())))
             size = np.fromiter((len(x) // 2 for x in found), dtype=np.int64, count=len(found))
             flat, length = np.frombuffer(b"".join(found), dtype="<u2"), size[places]
             ends = np.cumsum(length)
             flat = flat[np.repeat((np.cumsum(size) - size)[places] - (ends - length), length) + np.arange(length.sum())]
             ends = np.concatenate([[0], ends])[begin].tolist()
-            out = [ids_of(batch.column("body")[i].as_py()) if o else flat[ends[i]:ends[i + 1]].tobytes() for i, o in enumerate(odd.tolist())]
+            out = [rest[i] if o else flat[ends[i]:ends[i + 1]].tobytes() for i, o in enumerate(odd.tolist())]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": batch.column("body"), "ids": pa.array(out, pa.binary())})
 
-    dealt = texts.repartition("key")
-    cut = F.locate("\u0000", F.col("row"))
-    text = F.substring("row", cut + 1, F.length("row"))
-    blanked = F.concat(F.lit(BLANK), F.translate(text, " ", BLANK))
-    words = dealt.select("key", F.explode(F.split(blanked, table.ends)).alias("word"))
-    rare = words.join(F.broadcast(known_words.select("word")), "word", "left_anti").select("key", "word").distinct()
-    both = dealt
-    for name in ("short", "long"):
-        ids = encode_words(rare, table, name == "long").select("key", F.struct("word", _packed(F.col("ids")).alias("packed")).alias("x"))
-        both = both.join(ids.groupBy("key").agg(F.collect_list("x").alias(name)), "key", "left")
-    doc_id = F.when(cut > 1, F.substring("row", F.lit(1), cut - 1)).cast("long")
-    both = both.select(doc_id.alias("doc_id"), text.alias("body"), "short", "long")
-    return both.mapInArrow(joined, "doc_id long, text string, ids binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"))
+    return texts.mapInArrow(joined if last is None else lambda batches: last(joined(batches)), schema)
 
 
 def decoded(table: Table):
@@ -328,4 +456,4 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return encode(documents, table).mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return encode(documents, table, run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")

@@ -183,6 +183,22 @@ def test_encoder_is_exact_on_odd_texts():
     assert [ids[s:e].tolist() for s, e in zip(starts, starts[1:])] == [whole.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_tokenizer_is_given_bounded_batches():
+    encoder, sizes = packing.WordEncoder(BPE), []
+    real = encoder._tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kwargs):
+            sizes.append(len(texts))
+            return real.encode_batch_fast(texts, **kwargs)
+
+    encoder._tokenizer = Counted()
+    text = " ".join("w" + "abcdefghij"[i % 10] * (i // 10 % 10 + 1) + chr(97 + i // 100 % 26) + chr(97 + i // 2600) for i in range(9000))
+    ids, _ = encoder.encode(pa.array([text]))
+    assert sum(sizes) > 8000 and max(sizes) <= 2048
+    assert ids.tolist() == real.encode(text, add_special_tokens=False).ids
+
+
 # --- exact dedup
 
 def test_exact_owners(docs, none):
@@ -240,6 +256,34 @@ def test_viterbi_over_a_unigram_table(spark, tmp_path):
     assert {x.word: list(x.ids) for x in found} == {w: model.encode(w[1:]) for w in words}
 
 
+@pytest.mark.parametrize("kind", ("bpe", "unigram"))
+def test_words_are_folded_alike_in_tasks_and_as_rows(spark, kind):
+    table = sentencepieces.Table.load(PIECES, kind)
+    words = sorted({w for t in [prose(1, 200), "漢字かな \U0001F600x" * 5, "a" * 90 + "▁" * 30, "don't 12,345.67 ▁▁▁ zz"] for w in table.words(t)})
+    rows = sentencepieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string").repartition("word"), table).collect()
+    fold = sentencepieces.local_fold(table)
+    assert len(words) > 100
+    assert {x.word: list(x.ids) for x in rows} == {w: np.frombuffer(fold(w), dtype="<u2").tolist() for w in words}
+
+
+def test_dictionary_words_and_empty_texts():
+    """The blank at the end of a text is a word; an empty text has none."""
+    table = sentencepieces.Table.load(PIECES)
+    fold, known = sentencepieces.local_fold(table), ["▁", "▁the", "."]
+    encoder = sentencepieces.Encoder(pa.table({"word": known, "packed": [fold(w) for w in known]}), table)
+    texts = ["", "the ", "the.", "a the, b"]
+    assert encoder.of_texts(texts) == [b"".join(map(fold, table.words(t))) for t in texts]
+    assert encoder.of_words(pa.array(["the", "the.", "x."])) == [b"".join(map(fold, table.words(t))) for t in ["the", "the.", "x."]]
+
+
+def test_sentencepiece_texts_are_not_shuffled(docs):
+    plan = sentencepieces.encode(docs, sentencepieces.Table.load(PIECES)).select("ids")
+    before = docs.select("text").mapInArrow(lambda batches: batches, "text string")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(plan) == exchanges(before)
+    assert sentencepieces.digest(docs, PIECES)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_sentencepiece_empty_table(none):
     assert sentencepieces.digest(none, PIECES).count() == 0
 
