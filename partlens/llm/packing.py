@@ -43,7 +43,9 @@ from .common import slices
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+#: Texts that the tokenizer is given at once: its encodings hold far more than ids.
+ENCODED = 2048
 
 #: A document can be cut into pieces of these columns; ids are little-endian unsigned 32-bit.
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -67,8 +69,10 @@ class WordEncoder:
         self._words, self._runs = _Kept(), _Kept()
 
     def _encode(self, texts: list[str], kept: _Kept) -> None:
-        for text, found in zip(texts, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            kept.young[text] = array("I", found.ids).tobytes()
+        for at in range(0, len(texts), ENCODED):
+            some = texts[at:at + ENCODED]
+            for text, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                kept.young[text] = array("I", found.ids).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         whole, split = [], {}
@@ -154,7 +158,7 @@ def pieces(documents: DataFrame, tokenizer: str, with_ids: bool = False) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = encoder_of(tokenizer), array("I", [END]).tobytes(), 4 * CAPACITY
-        for batch in slices(batches, "body", 8 << 20):
+        for batch in slices(batches, "body"):
             rows = []
             flat, starts = encoder.encode(batch.column("body"))
             for doc, first, last in zip(batch.column("doc_id").to_pylist(), starts.tolist(), starts[1:].tolist()):
