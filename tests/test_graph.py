@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 from collecting import rows
+from pyspark.sql import functions as F
 
 from partlens.operators import community, graph, keyed
 
@@ -76,6 +77,16 @@ def test_cochange_drops_one_giant_commit(spark):
     assert rows(got) == [("g", "f1", "f2", 1.0)]
 
 
+def test_cochange_deals_pairs_by_the_number_of_lines(spark, monkeypatch):
+    """No task counts the pairs of more lines than it should, however small the lines are."""
+    monkeypatch.setattr(graph, "LINES_PER_TASK", 50)
+    lines = spark.range(4000).selectExpr("'g' AS repo", "id div 4 AS commit", "id % 97 AS item")
+    found = graph.cochange_edges(lines, ["repo"])
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert ", 80)" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.agg(F.sum("weight")).first()[0] == 6000
+
+
 def test_hub_share_takes_the_top_twentieth(spark):
     rng = random.Random(5)
     edges = [(a, b) for a, b in combinations(range(60), 2) if rng.random() < 0.1]
