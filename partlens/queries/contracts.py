@@ -154,8 +154,8 @@ claimed AS (SELECT DISTINCT o_orderpriority AS g, 'n' || s_nationkey AS unit, p_
 
 
 def _entrypoint_inputs(t: Tables) -> dict[str, DataFrame]:
-    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        t.part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("o_orderpriority", "g")
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    orders = t.orders.withColumnRenamed("o_orderpriority", "g")
     supplier = lambda c: F.concat(F.lit("s"), F.col(c))
     customer = lambda c: F.concat(F.lit("c"), F.col(c))
     nation = lambda c: F.concat(F.lit("n"), F.col(c))
@@ -164,14 +164,17 @@ def _entrypoint_inputs(t: Tables) -> dict[str, DataFrame]:
     # a priority names a graph; the list of them is one value of the orders
     graphs = t.orders.agg(F.array_sort(F.collect_set("o_orderpriority")).alias("g"))
     unit_files = files.withColumn("g", F.explode(graphs.scalar()))
+    # the source of a line is its order's customer: looked up once an order, and equal lines are not gathered first
+    sourced = C.with_source_units(orders.select("g", "o_orderkey", customer("o_custkey").alias("src")), unit_files, ["g"])
     return {
         "unit_files": unit_files,
-        "refs": lines.select("g", customer("o_custkey").alias("src"), supplier("l_suppkey").alias("dst"),
-                             F.col("p_size").cast("string").alias("symbol")).distinct(),
+        "refs": lines.join(sourced, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "g", "src", "src_unit", supplier("l_suppkey").alias("dst"), F.col("p_size").cast("string").alias("symbol")),
         "surface": t.orders.where("o_totalprice > 450000").select(
             F.col("o_orderpriority").alias("g"), customer("o_custkey").alias("path"),
             F.col("o_orderstatus").alias("symbol")).distinct(),
-        "listed": lines.where("l_quantity >= 49").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "listed": lines.where("l_quantity >= 49").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+            t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
             "g", nation("s_nationkey").alias("unit"), F.concat_ws(".", F.lit("size"), "p_size").alias("name")),
     }
 
