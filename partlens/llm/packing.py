@@ -95,16 +95,13 @@ class WordEncoder:
         """Ids of all texts in a row, and where each text begins in them."""
         lists = pc.ascii_split_whitespace(_parted(texts))
         coded = lists.flatten().dictionary_encode()
-        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
         self._learn(self._words.missing(words))
-        found = list(map(self._words.young.__getitem__, words))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        ids = np.frombuffer(b"".join(found), dtype=np.uint32)
-        length = sizes[places]
-        ends = np.cumsum(length)
-        source = np.repeat((np.cumsum(sizes) - sizes)[places] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        words_before = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        return ids[source], np.concatenate([[0], ends])[words_before]
+        # Arrow puts the ids of all places together; their ends are counted in bytes
+        placed = pa.array(list(map(self._words.young.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(placed.buffers()[1], dtype=np.int64, count=len(placed) + 1) // 4 if len(placed) else np.zeros(1, np.int64)
+        ids = np.frombuffer(placed.buffers()[2], dtype=np.uint32, count=int(ends[-1])) if ends[-1] else np.zeros(0, np.uint32)
+        return ids, ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
 
 
 #: Letters whose small form depends on their neighbours or is two characters.
