@@ -84,6 +84,8 @@ class Table:
         return _ENDS if self.split_letters else f"(?<=[^{BLANK}])(?={BLANK})"
 
     def words(self, text: str) -> list[str]:
+        if text.isalpha():
+            return [BLANK + text]  # neither blanks nor marks to end at
         return re.split(self.ends, BLANK + text.replace(" ", BLANK)) if text else []
 
 
@@ -419,23 +421,31 @@ def encode(documents: DataFrame, table: Table, last: Callable[[_Batches], _Batch
     return texts.mapInArrow(joined if last is None else lambda batches: last(joined(batches)), schema)
 
 
-def decoded(table: Table):
-    """A function that gives the text of packed ids back: the first blank is the encoder's own."""
+def decoded(table: Table) -> Callable[[list[bytes]], list[str]]:
+    """A function that gives the texts of packed ids back, put together by Arrow: the first blank is the encoder's own."""
     pieces = {i: p.replace(BLANK, " ").encode() for p, i, _ in table.pieces}
     pieces |= {table.first_byte + b: bytes([b]) for b in range(256)}
+    by_id = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.large_binary())
 
-    def text(ids: bytes) -> str:
-        return b"".join(map(pieces.__getitem__, np.frombuffer(ids, dtype="<u2").tolist())).decode("utf-8", "replace")[1:]
+    def texts(packed: list[bytes]) -> list[str]:
+        placed = by_id.take(pa.array(np.frombuffer(b"".join(packed), dtype="<u2")))
+        if placed.null_count:
+            raise KeyError("an id without a piece")
+        if not len(placed):
+            return [""] * len(packed)
+        at = np.cumsum([0, *(len(x) // 2 for x in packed)])
+        ends = np.frombuffer(placed.buffers()[1], dtype=np.int64, count=len(placed) + 1)[at].tolist()
+        whole = placed.buffers()[2].to_pybytes()
+        return [whole[s:e].decode("utf-8", "replace")[1:] for s, e in zip(ends, ends[1:])]
 
-    return text
+    return texts
 
 
 def decode(encoded: DataFrame, table: Table) -> DataFrame:
     """``encoded`` with the column decoded."""
     @F.pandas_udf("string")
     def run(ids):
-        text = decoded(table)
-        return ids.map(lambda x: text(bytes(x)))
+        return pd.Series(decoded(table)([bytes(x) for x in ids]), dtype=object)
 
     return encoded.withColumn("decoded", run("ids"))
 
@@ -448,10 +458,11 @@ def digest(documents: DataFrame, path: str) -> DataFrame:
         back = decoded(table)
         for batch in batches:
             rows = []
-            for doc, text, ids in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "text", "ids")]):
+            docs, texts, packed = (batch.column(k).to_pylist() for k in ("doc_id", "text", "ids"))
+            for doc, text, ids, given in zip(docs, texts, packed, back(packed)):
                 numbers = np.frombuffer(ids, dtype="<u2")
                 spelt = int(((numbers >= table.first_byte) & (numbers < table.first_byte + 256)).sum())
-                rows.append((doc, len(numbers), spelt, zlib.crc32(ids), back(ids) == (text or "").replace(BLANK, " ")))
+                rows.append((doc, len(numbers), spelt, zlib.crc32(ids), given == (text or "").replace(BLANK, " ")))
             kinds = (*[pa.int64()] * 4, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
 
