@@ -46,6 +46,8 @@ END = 0
 CACHED_WORDS = 150_000
 #: Texts that the tokenizer is given at once: its encodings hold far more than ids.
 ENCODED = 2048
+#: Runs that are one text for the tokenizer: most of the time for a short text goes into what surrounds its merges.
+JOINED = 256
 
 #: A document can be cut into pieces of these columns; ids are little-endian unsigned 32-bit.
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -66,6 +68,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self._last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._words, self._runs = _Kept(), _Kept()
 
     def _encode(self, texts: list[str], kept: _Kept) -> None:
@@ -74,10 +79,32 @@ class WordEncoder:
             for text, found in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 kept.young[text] = array("I", found.ids).tobytes()
 
+    def _encode_runs(self, runs: list[str], kept: _Kept) -> None:
+        """Like ``_encode``; runs of letters or of other ASCII are strung together with blanks and parted at the ids that end a run.
+
+        Each of these has at least one such id, so where there are as many as runs, each run has its own.
+        """
+        joined = [run for run in runs if run.isalpha() or run.isascii() and run.isprintable()]
+        if len(joined) < len(runs):
+            self._encode([run for run in runs if not (run.isalpha() or run.isascii() and run.isprintable())], kept)
+        for at in range(0, len(joined), ENCODED):
+            some = joined[at:at + ENCODED]
+            texts = [" ".join(some[i:i + JOINED]) for i in range(0, len(some), JOINED)]
+            found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, dtype=np.uint32) for x in found])
+            ends = (4 * np.flatnonzero(self._last[ids]) + 4).tolist()
+            if len(ends) != len(some):
+                self._encode(some, kept)
+                continue
+            raw = ids.tobytes()
+            kept.young.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
     def _learn(self, words: list[str]) -> None:
-        whole, split = [], {}
+        letters, whole, split = [], [], {}
         for word in words:
-            if word.isalpha() or "'" in word or "<|" in word:
+            if word.isalpha():
+                letters.append(word)
+            elif "'" in word or "<|" in word:
                 whole.append(word)
             elif word.isascii():
                 split[word] = _ASCII_RUNS(word.lower())
@@ -86,7 +113,8 @@ class WordEncoder:
             else:
                 whole.append(word)
         self._encode(whole, self._words)
-        self._encode(self._runs.missing({run for runs in split.values() for run in runs}), self._runs)
+        self._encode_runs(letters, self._words)
+        self._encode_runs(self._runs.missing({run for runs in split.values() for run in runs}), self._runs)
         known = self._runs.young.__getitem__
         for word, runs in split.items():
             self._words.young[word] = b"".join(map(known, runs))
