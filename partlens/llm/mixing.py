@@ -12,8 +12,8 @@ and ones, gathered over all training texts; a context that was seen little leans
 one. The predictions' logits are mixed by weights that are chosen by a gate (the place in the code and
 how much the longest context has been seen) and learned online, bit by bit, as a text is read; the mix
 is refined by an adaptive map of probabilities for each place in the code (learned in the same way) and
-gives the bits. Weights and map are first learned over the training texts, where a bit is predicted without
-its own count: in every partition from slice to slice, then averaged by use over all partitions. Every
+gives the bits. Weights and map are first fitted to the training texts, where a bit is predicted without
+its own count: in every partition by Newton's steps over all its bits, then averaged by use over all partitions. Every
 text starts from these and learns on from its first to its last token, so a score depends on its text and
 the training texts only, whatever else is scored. The average depends on how the training texts lie in partitions.
 
@@ -43,7 +43,11 @@ from .tables import written
 
 DICTIONARY = 1 << 19
 SLOTS = 1 << 20
-WINDOW = 1 << 15
+WINDOW = 1 << 13
+#: Tokens whose bits are laid out at once where their order is that of the texts.
+CHUNK = 1 << 13
+#: Chunks that the mix is fitted to at once.
+FITTED = 8
 READ_BYTES = 4 << 20
 RATE = 0.01
 MAP_RATE = 0.02
@@ -61,6 +65,7 @@ _LETTERS = 257  # a byte or the end of a word
 _CONTEXTS = 16384  # hashed contexts of three letters
 _PRIOR = 2.0  # a context seen n times has n / (n + _PRIOR) of the say over the shorter one
 _INITIAL = (0.3, 0.4, 0.3)
+_CLASS = np.uint32(15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,33 +146,59 @@ class Dictionary:
         if not len(self.tokens):
             return np.full(len(hashes), -1)
         values, back = np.unique(hashes, return_inverse=True)
+        return self.among(values)[back]
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Like ``find``, for different hashes in order."""
+        if not len(self.tokens):
+            return np.full(len(values), -1)
         at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == values, at, -1)[back]
+        return np.where(self.tokens[at] == values, at, -1)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ranks by index, -1 for those outside."""
         return np.where(at < 0, -1, self.ranks[at]) if len(self.ranks) else at
 
 
+def _digits(ranks: np.ndarray) -> np.ndarray:
+    """Binary digits of ranks after the first (rank -1: outside)."""
+    return np.where(ranks < 0, _ESCAPE, np.frexp((ranks + 1).astype(np.float64))[1] - 1)
+
+
 def _bits_of(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bits of tokens (rank -1: outside), one after the other: nodes and bits; how many each token has; its free digits, of which there are none."""
-    digits = np.where(ranks < 0, _ESCAPE, np.frexp((ranks + 1).astype(np.float64))[1] - 1)
+    digits = _digits(ranks)
     rest = np.where(ranks < 0, 0, digits)
     # the walk: digits of the count of digits, then the digits of the rank after the first, as one number with a leading 1
     size = _LEVELS + rest
-    walk = (((1 << _LEVELS) + digits) << rest) + (np.where(ranks < 0, 0, ranks + 1) & ((1 << rest) - 1))
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    left = np.repeat(size, size) - place
-    steps = np.repeat(walk, size) >> (left - 1)
-    return steps >> 1, (steps & 1).astype(np.int8), size, np.zeros_like(size)
+    walk = ((((1 << _LEVELS) + digits) << rest) + (np.where(ranks < 0, 0, ranks + 1) & ((1 << rest) - 1))).astype(np.int32)
+    left = np.repeat(np.cumsum(size).astype(np.int32), size)
+    left -= np.arange(1, len(left) + 1, dtype=np.int32)
+    steps = np.repeat(walk, size)
+    steps >>= left
+    bits = (steps & 1).astype(np.int8)
+    steps >>= 1
+    return steps, bits, size, np.zeros_like(size)
+
+
+def _levels(size: np.ndarray) -> np.ndarray:
+    """The place of every bit in the code of its token."""
+    ends = np.cumsum(size)
+    return np.arange(size.sum()) - np.repeat(ends - size, size)
+
+
+#: What _dense adds to a node, by the digits of the rank before it and the count of digits; nothing before those.
+_MOVES = np.zeros((_DEPTH + 1, 1 << _LEVELS), dtype=np.int32)
+for _k in range(_DEPTH - _LEVELS):
+    _MOVES[_k] = [(1 << _LEVELS) + (1 << d) + (1 << _k) - (((1 << _LEVELS) + d) << _k) if d < _DEPTH - _LEVELS + 1 else 0 for d in range(1 << _LEVELS)]
 
 
 def _dense(nodes: np.ndarray) -> np.ndarray:
     """Nodes as different numbers of no more than twice the greatest rank, so that each has a slot of its own."""
-    known = np.maximum(np.frexp(nodes.astype(np.float64))[1] - 1 - _LEVELS, -1)  # digits of the rank before this one
+    known = (nodes.astype(np.float32).view(np.int32) >> 23) - (127 + _LEVELS)  # digits of the rank before this one
     k = np.maximum(known, 0)
-    digits, leading = (nodes >> k) & (2 ** _LEVELS - 1), nodes & ((1 << k) - 1)
-    return np.where(known < 0, nodes, (1 << _LEVELS) + (1 << digits) + (1 << k) + leading)
+    digits = (nodes >> k) & (2 ** _LEVELS - 1)
+    return nodes + np.where(known < 0, 0, _MOVES.ravel().take((k << _LEVELS) + digits))
 
 
 def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
@@ -180,11 +211,20 @@ def _contexts(rows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
     return [np.zeros_like(hashes), one, mix(one + mix(two + np.uint64(2)))]
 
 
+_SPREAD, _GOLDEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+
 def _slots(order: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Slots of modelled bits; without a context every node has its own."""
-    if not order:
-        return _dense(nodes)
-    return (((context ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64)
+    return _hashed(context, nodes.astype(np.uint64) * _SPREAD) if order else _dense(nodes)
+
+
+def _hashed(context: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Slots of the nodes that ``spread`` was made of, in a context."""
+    slot = context ^ spread
+    slot *= _GOLDEN
+    slot >>= _SHIFT
+    return slot.view(np.int64)
 
 
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,24 +241,36 @@ def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _train(dictionary):
-    """Counts of bits per slot and order, as parts of one long vector, and of letters in the different words of every slice."""
+    """Counts of bits per slot of the orders with a context, as parts of one long vector, of letters in the different words of every
+    slice, and of tokens outside the dictionary. Counts without a context follow from those of the dictionary's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _shared(dictionary)
-        totals = np.zeros(_ORDERS * SLOTS * 2, dtype=np.int64)
+        totals = np.zeros((_ORDERS - 1, 2 * SLOTS), dtype=np.int64)
         spelt = np.zeros(_CONTEXTS * _LETTERS, dtype=np.int64)
+        outside = 0
         for batch in slices(batches, "body"):
             rows, hashes, data, starts, ends = _tokens(batch.column("body"))
-            at = found.find(hashes)
-            nodes, bits, size, _ = _bits_of(found.rank(at))
-            for order, context in enumerate(_contexts(rows, hashes)):
-                cell = (_slots(order, np.repeat(context, size), nodes) << 1) + bits
-                totals[order * 2 * SLOTS: (order + 1) * 2 * SLOTS] += np.bincount(cell, minlength=2 * SLOTS)
-            kinds = np.unique(hashes, return_index=True)[1]
+            values, kinds, back = np.unique(hashes, return_index=True, return_inverse=True)
+            ranks = found.rank(found.among(values))[back]
+            outside += int((ranks < 0).sum())
+            contexts = _contexts(rows, hashes)[1:]
+            cells: list[list[np.ndarray]] = [[] for _ in contexts]
+            for a in range(0, len(ranks), CHUNK):
+                nodes, bits, size, _ = _bits_of(ranks[a:a + CHUNK])
+                spread = nodes.astype(np.uint64) * _SPREAD
+                for held, context in zip(cells, contexts):
+                    cell = _hashed(np.repeat(context[a:a + CHUNK], size), spread)
+                    cell <<= 1
+                    cell += bits
+                    held.append(cell)
+            for total, held in zip(totals, cells):
+                total += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
+                held.clear()
             kinds = kinds[ends[kinds] > starts[kinds]]
             if len(kinds):
-                spelt += np.bincount(_letters(data, starts[kinds], ends[kinds])[1], minlength=len(spelt))
-        parts = [*np.split(totals, _PARTS), spelt]
+                np.add.at(spelt, _letters(data, starts[kinds], ends[kinds])[1], 1)
+        parts = [*np.split(totals.ravel(), _PARTS), spelt, np.array([outside])]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
     return run
@@ -234,31 +286,51 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(part: int, counts: np.ndarray) -> bytes:
-    """What scoring needs of a part: logit, seen-class and count of each slot, or the letters' log probabilities, as bytes."""
+    """What the model needs of a part: counts of slots, the letters' log probabilities, or the count of tokens outside the dictionary, as bytes."""
+    if part > _PARTS:
+        return counts.tobytes()
     if part == _PARTS:
         table = counts.reshape(_CONTEXTS, _LETTERS) + 0.02
         return np.log2(table / table.sum(axis=1, keepdims=True)).astype(np.float32).tobytes()
-    zeros, ones = counts[::2], counts[1::2]
-    logit = np.log((ones + 0.2) / (zeros + 0.2)).clip(-11, 11).astype(np.float16)
-    times = zeros + ones
-    return logit.tobytes() + np.minimum(np.frexp(times.astype(np.float64))[1], 12).astype(np.uint8).tobytes() + times.astype(np.float32).tobytes()
+    return counts.astype(np.float32).tobytes()
+
+
+def _packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logits of slots with these counts; the last four bits are the seen-class, so that one look-up finds both."""
+    logit = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2))).clip(-11, 11).astype(np.float32)
+    return (logit.view(np.uint32) & ~_CLASS) | np.minimum(np.frexp(zeros + ones)[1], 12).astype(np.uint32)
 
 
 class Model:
-    """What scoring needs: dictionary, logits, seen-classes and counts by order and slot, log probabilities of letters."""
+    """What scoring needs: dictionary, logits with seen-classes by order and slot, log probabilities of letters. Learning
+    takes the logits without one zero or without one one, side by side for every slot."""
 
     def __init__(self, dictionary: Dictionary, parts: dict[int, bytes]):
         self.dictionary = dictionary
-        size = _ORDERS * SLOTS // _PARTS
-        blank = bytes(7 * size)
-        halves = [parts.get(p, blank) for p in range(_PARTS)]
-        self.logits = np.concatenate([np.frombuffer(x, np.float16, size) for x in halves]).reshape(_ORDERS, SLOTS)
-        self.seen = np.concatenate([np.frombuffer(x, np.uint8, size, 2 * size) for x in halves]).reshape(_ORDERS, SLOTS)
-        self.times = np.concatenate([np.frombuffer(x, np.float32, size, 3 * size) for x in halves]).reshape(_ORDERS, SLOTS)
+        blank = bytes(4 * (2 * (_ORDERS - 1) * SLOTS // _PARTS))
+        seen = np.concatenate([np.frombuffer(parts.get(p, blank), np.float32) for p in range(_PARTS)])
+        outside = int(np.frombuffer(parts[_PARTS + 1], np.int64)[0]) if _PARTS + 1 in parts else 0
+        self.plain = np.empty((_ORDERS, SLOTS), dtype=np.uint32)
+        self.taught = np.empty((_ORDERS, 2 * SLOTS), dtype=np.uint32)
+        for order, counts in enumerate([_bare(dictionary, outside), *seen.reshape(_ORDERS - 1, -1)]):
+            zeros, ones = counts[::2], counts[1::2]
+            self.plain[order] = _packed(zeros, ones)
+            self.taught[order, ::2] = _packed(np.maximum(zeros - 1, 0), ones)
+            self.taught[order, 1::2] = _packed(zeros, np.maximum(ones - 1, 0))
         letters = np.frombuffer(parts[_PARTS], np.float32) if _PARTS in parts else np.full(_CONTEXTS * _LETTERS, -np.log2(_LETTERS), np.float32)
         self.letters = letters
 
 
+def _bare(dictionary: Dictionary, outside: int) -> np.ndarray:
+    """Counts of bits without a context: every token of the dictionary adds its bits as often as it occurs, ``outside`` others the escape's."""
+    totals = np.zeros(2 * SLOTS)
+    ranks, counts = np.append(dictionary.ranks, -1), np.append(dictionary.counts, outside)
+    for a in range(0, len(ranks), 1 << 16):
+        nodes, bits, size, _ = _bits_of(ranks[a:a + (1 << 16)])
+        totals += np.bincount((_dense(nodes).astype(np.int64) << 1) + bits, weights=np.repeat(counts[a:a + (1 << 16)], size), minlength=2 * SLOTS)
+    return totals.astype(np.float32)
+
+
 #: Say of a context by its seen-class, the number of binary digits of how often it was seen.
 _SAY = np.array([0.0, *((x := 0.75 * 2.0 ** c) / (x + _PRIOR) for c in range(1, 13))], dtype=np.float32)
 
@@ -312,31 +384,28 @@ def bits(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at:
     return total
 
 
-def _without(logit: np.ndarray, times: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Logits of slots that were seen ``times`` times, without the one time that the bit itself was."""
-    ones = (times + np.float32(0.4)) / (1 + np.exp(-logit))
-    zeros = times + np.float32(0.4) - ones
-    return np.log(np.maximum(ones - bit, np.float32(0.2)) / np.maximum(zeros - (1 - bit), np.float32(0.2)))
-
-
 def _inputs(model: Model, contexts: list[np.ndarray], nodes: np.ndarray, bit: np.ndarray, size: np.ndarray, learning: bool) -> tuple[np.ndarray, np.ndarray]:
     """Logits of modelled bits by order, and the seen-class of their longest context; for learning without the bits' own counts."""
     inputs = np.empty((_ORDERS, len(nodes)), dtype=np.float32)
+    spread = nodes.astype(np.uint64) * _SPREAD
     for order, context in enumerate(contexts):
-        slot = _slots(order, np.repeat(context, size), nodes)
-        inputs[order] = model.logits[order][slot]
-        seen = model.seen[order][slot]
+        slot = _hashed(np.repeat(context, size), spread) if order else _dense(nodes)
         if learning:
-            times = model.times[order][slot]
-            inputs[order] = _without(inputs[order], times, bit)
-            seen = np.minimum(np.frexp(np.maximum(times - 1, 0))[1], 12)
-        if order:
-            inputs[order] = inputs[order - 1] + _SAY[seen] * (inputs[order] - inputs[order - 1])
-    return inputs, seen
-
-
-def _mixed(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray, learning: bool = False):
-    """Modelled bits of every text; the weights and refined probabilities at its end, and how often it used them (only for learning).
+            slot <<= 1
+            slot += bit
+        found = (model.taught if learning else model.plain)[order][slot]
+        if not order:
+            inputs[0] = found.view(np.float32)
+            continue
+        np.subtract(found.view(np.float32), inputs[order - 1], out=inputs[order])
+        found &= _CLASS
+        inputs[order] *= _SAY[found]
+        inputs[order] += inputs[order - 1]
+    return inputs, found
+
+
+def _mixed(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[np.ndarray]:
+    """Modelled bits of every text.
 
     Texts are read side by side, each from its first to its last token: step t takes the t-th token
     of all texts that have one. The bits of a token lie on different levels and so share no weights
@@ -352,73 +421,131 @@ def _mixed(model: Model, start: State, n: int, tokens: tuple[np.ndarray, ...], a
     lanes = lane[rows]
     reading = np.argsort(place * n + lanes)
     first = np.concatenate([[0], np.cumsum(np.bincount(place))])
-    weights, refined = np.tile(start.weights, n), np.tile(start.refined, n)
-    used, met = (np.zeros(n * k, dtype=np.int64) if learning else None for k in (_GATES, _DEPTH * _BINS))
+    # the weights of a gate lie in one cell of 16 bytes, which is taken and put back as a whole
+    # with the other sign, as the chance of a one needs it
+    weights = np.zeros((n, _GATES, 4), dtype=np.float32)
+    weights[:, :, :_ORDERS] = -start.weights.T
+    weights, refined = weights.view(np.complex128).ravel(), np.tile(start.refined, n)
     total = np.zeros(n)
     scale, one, half, top = np.float32((_BINS - 1) / 16), np.float32(1), np.float32(0.5), np.float32(8)
+    middle, keep = top * scale + half, one - np.float32(MAP_RATE)
     rate, map_rate = np.float32(RATE), np.float32(MAP_RATE)
     step = 0
     while step < len(first) - 1:
         last = max(step + 1, int(np.searchsorted(first, first[step] + WINDOW, side="right")) - 1)
         chosen = reading[first[step]:first[last]]
         nodes, bit, size, _ = _bits_of(ranks[chosen])
-        x, seen = _inputs(model, [c[chosen] for c in contexts], nodes, bit, size, learning)
-        own = np.repeat(lanes[chosen], size)
+        x, seen = _inputs(model, [c[chosen] for c in contexts], nodes, bit, size, False)
         ends = np.concatenate([[0], np.cumsum(size)])
-        level = np.arange(len(nodes)) - np.repeat(ends[:-1], size)
-        cells = own * _GATES + level * 4 + np.minimum((seen + 1) // 2, 3)
-        spots = (own * _DEPTH + level) * _BINS
+        # gates and bins are numbered by text, place in the code and then seen-class or bin; there are 4 gates and _BINS bins a place
+        cells = np.repeat(lanes[chosen] * _GATES - 4 * ends[:-1], size)
+        cells += np.arange(0, 4 * len(bit), 4)
+        spots = cells * (_BINS // 4)
+        cells += _SEEN_GATE.take(seen)
         y = bit.astype(np.float32)
-        logits, maps = np.empty(len(bit), dtype=np.float32), np.empty(len(bit), dtype=np.float32)
+        moves, pulls = x * rate, y * map_rate
+        chances, maps = np.empty(len(bit), dtype=np.float32), np.empty(len(bit), dtype=np.float32)
         begin = ends[first[step:last + 1] - first[step]].tolist()
         for b, e in zip(begin, begin[1:]):
-            cell, xs, ys = cells[b:e], x[:, b:e], y[b:e]
-            w = weights.take(cell, axis=1)
-            logit = (w * xs).sum(axis=0)
-            np.minimum(np.maximum(logit, -top, out=logit), top, out=logit)
-            logits[b:e] = logit
-            error = ys - one / (one + np.exp(-logit))
-            error *= rate
-            w += error * xs
-            weights[:, cell] = w
-            spot = spots[b:e]
-            spot += ((logit + top) * scale + half).astype(np.int64)
-            r = refined[spot]
-            maps[b:e] = r
-            refined[spot] = r + map_rate * (ys - r)
-        q = (one / (one + np.exp(-logits)) + maps) * half
-        total += np.bincount(own, weights=-np.log2(np.where(y > 0, q, one - q)), minlength=n)
-        if learning:
-            used += np.bincount(cells, minlength=len(used))
-            met += np.bincount(spots, minlength=len(met))
+            cell, chance, r, spot = cells[b:e], chances[b:e], maps[b:e], spots[b:e]
+            taken = weights.take(cell)
+            w = taken.view(np.float32).reshape(-1, 4).T[:_ORDERS]
+            parts = w * x[:, b:e]
+            logit = parts[0]  # of a zero
+            logit += parts[1]
+            logit += parts[2]
+            np.minimum(logit, top, out=logit)
+            np.maximum(logit, -top, out=logit)
+            np.exp(logit, out=chance)
+            chance += one
+            np.divide(one, chance, out=chance)
+            w -= (y[b:e] - chance) * moves[:, b:e]
+            weights[cell] = taken
+            logit *= -scale
+            logit += middle
+            spot += logit.astype(np.int64)
+            refined.take(spot, out=r, mode="clip")
+            pulled = r * keep
+            pulled += pulls[b:e]
+            refined[spot] = pulled
+        q = (chances + maps) * half
+        total -= np.bincount(lanes[chosen], weights=np.add.reduceat(np.log2(np.where(y > 0, q, one - q)), ends[:-1]), minlength=n)
         step = last
-    return total[lane], weights, refined, used, met
+    return (total[lane],)
+
+
+#: Gate by seen-class of the longest context.
+_SEEN_GATE = np.minimum((np.arange(13) + 1) // 2, 3)
 
 
 def _learn(model_share):
     """State after the training texts of a partition: its values by cell and how many bits each was learned from.
 
-    The texts of a slice all start from what those before it have left, which is the average of their ends by use.
+    The weights of every gate are fitted by Newton's steps of the logistic loss, one for about ``FITTED * CHUNK`` tokens,
+    with the curvature of all bits read so far, so that they near the best weights for all these bits.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, state = _shared(model_share), State.initial()
-        uses = np.zeros(len(state.flat()), dtype=np.int64)
+        fit = _Fit(state)
         for batch in slices(batches, "body", READ_BYTES):
-            tokens = _tokens(batch.column("body"))
-            n = batch.num_rows
-            _, weights, refined, used, met = _mixed(model, state, n, tokens, model.dictionary.find(tokens[1]), learning=True)
-            used, met = used.reshape(n, -1), met.reshape(n, -1)
-            by_gate, by_bin = used.sum(axis=0), met.sum(axis=0)
-            weights = (weights.reshape(_ORDERS, n, -1) * used).sum(axis=1) / np.maximum(by_gate, 1)
-            refined = (refined.reshape(n, -1) * met).sum(axis=0) / np.maximum(by_bin, 1)
-            state = State(np.where(by_gate > 0, weights, state.weights).astype(np.float32), np.where(by_bin > 0, refined, state.refined).astype(np.float32))
-            uses += np.concatenate([np.tile(by_gate, _ORDERS), by_bin])
+            rows, hashes = _tokens(batch.column("body"))[:2]
+            ranks, contexts = model.dictionary.rank(model.dictionary.find(hashes)), _contexts(rows, hashes)
+            for a in range(0, len(ranks), CHUNK):
+                nodes, bit, size, _ = _bits_of(ranks[a:a + CHUNK])
+                x, seen = _inputs(model, [c[a:a + CHUNK] for c in contexts], nodes, bit, size, True)
+                fit.read(x, seen, _levels(size), bit)
+        state, uses = fit.state()
         found = np.flatnonzero(uses)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(found.astype(np.int32)), "value": pa.array(state.flat()[found].astype(np.float64)), "n": pa.array(uses[found])})
 
     return run
 
 
+class _Fit:
+    """Weights by gate and refined probabilities fitted to bits, chunk by chunk."""
+
+    def __init__(self, state: State):
+        self._weights, self._start = state.weights.astype(np.float32), state.refined
+        self._curve = np.tile(np.eye(_ORDERS), (_GATES, 1, 1))
+        self._slope = np.zeros((_GATES, _ORDERS))
+        self._uses = np.zeros(_GATES, dtype=np.int64)
+        self._met, self._ones = np.zeros(_DEPTH * _BINS, dtype=np.int64), np.zeros(_DEPTH * _BINS)
+        self._unread = 0
+
+    def read(self, x: np.ndarray, seen: np.ndarray, level: np.ndarray, bit: np.ndarray) -> None:
+        gate = level * 4 + _SEEN_GATE[seen]
+        logit = (self._weights.take(gate, axis=1) * x).sum(axis=0).clip(-8, 8)
+        chance = 1 / (1 + np.exp(-logit))
+        error, sway = bit - chance, chance * (1 - chance)
+        for o in range(_ORDERS):
+            self._slope[:, o] += np.bincount(gate, error * x[o], _GATES)
+            swayed = sway * x[o]
+            for k in range(o + 1):
+                self._curve[:, o, k] += (more := np.bincount(gate, swayed * x[k], _GATES))
+                if k < o:
+                    self._curve[:, k, o] += more
+        self._uses += np.bincount(gate, minlength=_GATES)
+        spot = level * _BINS + ((logit + 8) * ((_BINS - 1) / 16) + 0.5).astype(np.int64)
+        self._met += np.bincount(spot, minlength=len(self._met))
+        self._ones += np.bincount(spot, bit, len(self._ones))
+        self._unread += 1
+        if self._unread == FITTED:
+            self._step()
+
+    def _step(self) -> None:
+        step = np.linalg.solve(self._curve, self._slope[:, :, None])[:, :, 0]
+        self._weights = (self._weights + step.clip(-0.5, 0.5).T).astype(np.float32)
+        self._slope[:] = 0
+        self._unread = 0
+
+    def state(self) -> tuple[State, np.ndarray]:
+        """The state, and how many bits each of its values was learned from; bins lean on where they began like on 1 / MAP_RATE bits."""
+        if self._unread:
+            self._step()
+        refined = ((self._start / MAP_RATE + self._ones) / (1 / MAP_RATE + self._met)).astype(np.float32)
+        return State(self._weights, refined), np.concatenate([np.tile(self._uses, _ORDERS), self._met])
+
+
 def learned(training: DataFrame, model_share) -> State:
     """The state that every text starts from: those of all partitions of the training texts, averaged by use."""
     parts = training.select("body").mapInArrow(_learn(model_share), "cell int, value double, n long")
@@ -468,7 +595,7 @@ def score(documents: DataFrame) -> DataFrame:
     training = texts.where(~held_out(F.col("doc_id")))
     counts = written(token_counts(training))
     dictionary = _Share(spark, found := Dictionary.of(counts, DICTIONARY))
-    trained = training.select("body").mapInArrow(_train(dictionary), "part int, counts binary").repartition(_PARTS + 1, "part")
+    trained = training.select("body").mapInArrow(_train(dictionary), "part int, counts binary").repartition(_PARTS + 2, "part")
     parts = {r["part"]: zlib.decompress(bytes(r["counts"])) for r in trained.mapInArrow(_merge, "part int, counts binary").collect()}
     model = _Share(spark, Model(found, parts))
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
