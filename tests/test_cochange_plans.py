@@ -16,6 +16,18 @@ def test_lines_are_counted_and_gathered_in_one_shuffle(spark):
     assert exchanges(graph.cochange_edges(lines, ["repo"])) == 2
 
 
+def test_commits_are_not_gathered_as_objects_before_they_are_counted(spark):
+    lines = spark.range(4000).selectExpr("id div 2000 AS repo", "id div 4 AS commit", "id % 97 AS item")
+    assert "ObjectHashAggregate" not in graph.cochange_edges(lines, ["repo"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_without_an_item_count_and_equal_ones_pair_once(spark):
+    lines = [("g", "c", "x"), ("g", "c", "y"), ("g", "c", "x"), ("g", "d", "x"), ("g", "d", None), ("g", "e", "y"), ("g", "e", "x"), ("g", "e", None), ("g", "e", None)]
+    df = spark.createDataFrame(lines, "g string, commit string, item string")
+    assert rows(graph.cochange_edges(df, ["g"], max_items=4), "a", "b", "weight") == [("x", "y", 2.0)]
+    assert rows(graph.cochange_edges(df, ["g"], max_items=3), "a", "b", "weight") == [("x", "y", 1.0)]
+
+
 def test_giant_commits_of_a_bucket_do_not_take_others_with_them(spark, monkeypatch):
     monkeypatch.setattr(graph, "BUCKETS", 2)
     lines = [("g", "big", f"f{i}") for i in range(3000)] + [("g", f"c{i}", f"f{j}") for i in range(50) for j in (i, i + 1)]
